@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geohotspots.config import EARTH_RADIUS_M, require_int
@@ -36,32 +36,63 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2.0 * EARTH_RADIUS_M * F.asin(F.sqrt(term))
 
 
-def hex_cell(lat: Column, lon: Column, resolution: int = 9) -> Column:
-    """Id ``hex{res}_{q}_{r}`` of the pointy-top hexagon that holds a coordinate.
+def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """Point on the unit sphere; distances then need no further trigonometry."""
+    phi, lam = F.radians(lat), F.radians(lon)
+    return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
 
-    Local equirectangular projection, axial coordinates, cube rounding. The edge
-    shrinks by sqrt(7) per resolution step.
+
+def chord_term(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Squared chord of two unit vectors: four times :func:`haversine_term`."""
+    dx, dy, dz = (p - q for p, q in zip(a, b))
+    return dx * dx + dy * dy + dz * dz
+
+
+def chord_limit(metres: float) -> float:
+    return 4.0 * haversine_limit(metres)
+
+
+def with_hex_cell(
+    df: DataFrame, lat: str, lon: str, resolution: int = 9, name: str = "h3_cell"
+) -> DataFrame:
+    """Add the id ``hex{res}_{q}_{r}`` of the pointy-top hexagon that holds a coordinate.
+
+    Local equirectangular projection, axial coordinates, cube rounding. The edge shrinks
+    by sqrt(7) per resolution step. Every value used more than once is a column of its
+    own step, which keeps the generated code small.
     """
     require_int("resolution", resolution, 0, 15)
     ky = math.radians(1.0) * EARTH_RADIUS_M
     kx = ky * math.cos(math.radians(HEX_LAT0))
     edge = HEX_EDGE_RES9_M * math.sqrt(7.0) ** (9 - resolution)
-    x = (lon - F.lit(HEX_LON0)) * F.lit(kx)
-    y = (lat - F.lit(HEX_LAT0)) * F.lit(ky)
-    q = (x * F.lit(math.sqrt(3.0) / 3.0) - y / F.lit(3.0)) / F.lit(edge)
-    r = (y * F.lit(2.0) / F.lit(3.0)) / F.lit(edge)
-    p = -q - r
-    rq, rr, rp = (F.floor(v + F.lit(0.5)) for v in (q, r, p))
-    dq, dr, dp = F.abs(rq - q), F.abs(rr - r), F.abs(rp - p)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    x = (F.col(lon) - F.lit(HEX_LON0)) * F.lit(kx)
+    y = (F.col(lat) - F.lit(HEX_LAT0)) * F.lit(ky)
+    axial = df.select(
+        *kept,
+        ((x * F.lit(math.sqrt(3.0) / 3.0) - y / F.lit(3.0)) / F.lit(edge)).alias("_q"),
+        ((y * F.lit(2.0) / F.lit(3.0)) / F.lit(edge)).alias("_r"),
+    )
+    q, r = F.col("_q"), F.col("_r")
+    nearest = axial.withColumns(
+        {
+            "_rq": F.floor(q + F.lit(0.5)),
+            "_rr": F.floor(r + F.lit(0.5)),
+            "_rp": F.floor(-q - r + F.lit(0.5)),
+        }
+    )
+    rq, rr, rp = F.col("_rq"), F.col("_rr"), F.col("_rp")
+    gaps = nearest.withColumns(
+        {"_dq": F.abs(rq - q), "_dr": F.abs(rr - r), "_dp": F.abs(rp - (-q - r))}
+    )
+    dq, dr, dp = F.col("_dq"), F.col("_dr"), F.col("_dp")
     fix_q = (dq > dr) & (dq > dp)
     cell_q = F.when(fix_q, -rp - rr).otherwise(rq)
     cell_r = F.when(fix_q, rr).when(dr > dp, -rq - rp).otherwise(rr)
-    return F.concat(
-        F.lit(f"hex{resolution}_"),
-        cell_q.cast("bigint").cast("string"),
-        F.lit("_"),
-        cell_r.cast("bigint").cast("string"),
+    cell = F.concat(
+        F.lit(f"hex{resolution}_"), cell_q.cast("string"), F.lit("_"), cell_r.cast("string")
     )
+    return gaps.select(*kept, cell.alias(name))
 
 
 @dataclass(frozen=True)

@@ -23,7 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geohotspots.config import NOISE_LABEL, BoundingBox, require_int
-from geohotspots.functions.geo import SubcellGrid, haversine_limit, haversine_term
+from geohotspots.functions.geo import (
+    SubcellGrid,
+    chord_limit,
+    chord_term,
+    haversine_limit,
+    unit_vector,
+)
 from geohotspots.operators.components import connected_components
 from geohotspots.operators.ordering import global_position
 from geohotspots.session import cut_lineage
@@ -35,6 +41,7 @@ SALT_POINTS = 4_096
 EXACT_PAIRS = 4_096
 
 _POINT = ("lat", "lon")
+_VECTOR = ("ux", "uy", "uz")
 
 
 def check_parameters(eps_m: float, min_samples: int) -> None:
@@ -60,11 +67,13 @@ def grid_for(events: DataFrame, eps_m: float, bbox: BoundingBox | None) -> Subce
 
 
 def weighted_points(events: DataFrame, grid: SubcellGrid, order_by: str) -> DataFrame:
-    """One row per distinct coordinate: weight, earliest event, sub-cell."""
+    """One row per distinct coordinate: weight, earliest event, sub-cell, unit vector."""
+    vector = unit_vector(F.col("lat"), F.col("lon"))
     return (
         events.groupBy(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
         .agg(F.count(F.lit(1)).alias("weight"), F.min(order_by).alias("first_order"))
         .withColumns({"cx": grid.column(F.col("lon")), "cy": grid.row(F.col("lat"))})
+        .withColumns(dict(zip(_VECTOR, vector)))
     )
 
 
@@ -103,10 +112,12 @@ def subcells(points: DataFrame, grid: SubcellGrid, min_samples: int) -> DataFram
     )
 
 
+def _vector(prefix: str = "") -> tuple[Column, ...]:
+    return tuple(F.col(f"{prefix}{c}") for c in _VECTOR)
+
+
 def _within(grid: SubcellGrid) -> Column:
-    return haversine_term(
-        F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")
-    ) <= F.lit(haversine_limit(grid.eps_m))
+    return chord_term(_vector(), _vector("t_")) <= F.lit(chord_limit(grid.eps_m))
 
 
 def _salts(points_in_cell: Column) -> Column:
@@ -118,7 +129,7 @@ def _probe(
 ) -> DataFrame:
     """Pairs of a probe and a target point within eps, as rows with ``t_`` columns.
 
-    ``probes(lat, lon, cx, cy)`` come from sparse sub-cells, so at most
+    ``probes`` come from sparse sub-cells, so at most
     ``min_samples - 1`` per sub-cell; ``targets`` carry ``points``, the size of their
     sub-cell, which sets the number of salts.
     """
@@ -126,21 +137,23 @@ def _probe(
         F.col("cx").alias("tx"),
         F.col("cy").alias("ty"),
         F.pmod(F.xxhash64("lat", "lon"), _salts(F.col("points"))).cast("int").alias("salt"),
-        F.col("lat").alias("t_lat"),
-        F.col("lon").alias("t_lon"),
+        *[F.col(c).alias(f"t_{c}") for c in _VECTOR],
         F.col("weight").alias("t_weight"),
     )
     occupied = cells.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), "points")
-    spread = (
-        probes.select("lat", "lon", _offset_rows(grid, list(grid.offsets)))
+    # Neighbouring sub-cells are paired first, so a probe meets occupied ones only.
+    links = (
+        probes.select("cx", "cy")
+        .distinct()
+        .select("cx", "cy", _offset_rows(grid, list(grid.offsets)))
         .join(occupied, ["tx", "ty"])
-        .select(
-            "lat",
-            "lon",
-            "tx",
-            "ty",
-            F.explode(F.sequence(F.lit(0), _salts(F.col("points")) - 1)).alias("salt"),
-        )
+    )
+    spread = probes.select("cx", "cy", *_POINT, *_VECTOR).join(links, ["cx", "cy"]).select(
+        *_POINT,
+        *_VECTOR,
+        "tx",
+        "ty",
+        F.explode(F.sequence(F.lit(0), _salts(F.col("points")) - 1)).alias("salt"),
     )
     return spread.join(salted, ["tx", "ty", "salt"]).filter(_within(grid))
 
@@ -151,8 +164,7 @@ def sparse_neighbour_counts(
     """Events within eps of each point of an active sparse sub-cell, per target sub-cell."""
     sized = points.join(cells.select("cx", "cy", "points", "dense", "active"), ["cx", "cy"])
     probes = sized.filter("active and not dense")
-    pairs = _probe(probes, sized, cells, grid)
-    return pairs.groupBy("lat", "lon", "tx", "ty").agg(F.sum("t_weight").alias("hits"))
+    return _probe(probes, sized, cells, grid).groupBy("lat", "lon", "tx", "ty").agg(F.sum("t_weight").alias("hits"))
 
 
 def _extremes() -> list[Column]:
@@ -171,30 +183,35 @@ def _extremes() -> list[Column]:
     ]
 
 
-_EXTREME_COLUMNS = (
-    "n_lat", "n_lon", "s_lat", "s_lon", "e_lat", "e_lon", "w_lat", "w_lon", "points",
+def _with_vectors(summary: DataFrame) -> DataFrame:
+    """Add the unit vectors of the four extreme points."""
+    return summary.withColumns(
+        {
+            f"{p}_{c}": v
+            for p in "nsew"
+            for c, v in zip(
+                _VECTOR, unit_vector(F.col(f"{p}_lat"), F.col(f"{p}_lon"))
+            )
+        }
+    )
+
+
+_SUMMARY = (
+    "points", "n_lat", "s_lat", "e_lon", "w_lon",
+    *(f"{p}_{c}" for p in "nsew" for c in _VECTOR),
 )
 
 
 def _side(prefix: str) -> list[Column]:
-    return [F.col(c).alias(f"{prefix}_{c}") for c in _EXTREME_COLUMNS]
+    return [F.col(c).alias(f"{prefix}_{c}") for c in _SUMMARY]
 
 
 def _touching(grid: SubcellGrid) -> Column:
     """True when two of the extreme points are within eps."""
-    limit = F.lit(haversine_limit(grid.eps_m))
-    hits = [
-        haversine_term(
-            F.col(f"a_{p}_lat"), F.col(f"a_{p}_lon"), F.col(f"b_{q}_lat"), F.col(f"b_{q}_lon")
-        )
-        <= limit
-        for p in "nsew"
-        for q in "nsew"
+    chords = [
+        chord_term(_vector(f"a_{p}_"), _vector(f"b_{q}_")) for p in "nsew" for q in "nsew"
     ]
-    condition = hits[0]
-    for hit in hits[1:]:
-        condition = condition | hit
-    return condition
+    return F.least(*chords) <= F.lit(chord_limit(grid.eps_m))
 
 
 def _apart(grid: SubcellGrid) -> Column:
@@ -227,17 +244,15 @@ def _exact_edges(
 ) -> DataFrame:
     """Edges among small undecided pairs, comparing their points."""
     fine = cores.select(
-        "lat",
-        "lon",
+        *_VECTOR,
         grid.column(F.col("lon"), level).alias("x"),
         grid.row(F.col("lat"), level).alias("y"),
     )
-    left = fine.select(F.col("x").alias("ax"), F.col("y").alias("ay"), "lat", "lon")
+    left = fine.select(F.col("x").alias("ax"), F.col("y").alias("ay"), *_VECTOR)
     right = fine.select(
         F.col("x").alias("bx"),
         F.col("y").alias("by"),
-        F.col("lat").alias("t_lat"),
-        F.col("lon").alias("t_lon"),
+        *[F.col(c).alias(f"t_{c}") for c in _VECTOR],
     )
     return (
         pairs.select("u", "v", "ax", "ay", "bx", "by")
@@ -278,14 +293,12 @@ def core_edges(cores: DataFrame, nodes: DataFrame, grid: SubcellGrid) -> DataFra
         if large.isEmpty():
             return edges.distinct()
         level += 2
-        children = (
+        children = _with_vectors(
             cores.groupBy(
                 grid.column(F.col("lon"), level).alias("x"),
                 grid.row(F.col("lat"), level).alias("y"),
-            )
-            .agg(*_extremes())
-            .withColumns({"px": F.shiftright("x", 2), "py": F.shiftright("y", 2)})
-        )
+            ).agg(*_extremes())
+        ).withColumns({"px": F.shiftright("x", 2), "py": F.shiftright("y", 2)})
         left = children.select(
             F.col("px").alias("ax"),
             F.col("py").alias("ay"),
@@ -357,7 +370,7 @@ def _label_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rooted = nodes.select(
         "cx", "cy", "first_order", _node_id(F.col("cx"), F.col("cy")).alias("node")
     ).join(components, "node", "left")
-    rooted = cut_lineage(rooted.withColumn("root", F.coalesce("root", "node")))
+    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     clusters = rooted.groupBy("root").agg(F.min("first_order").alias("first_order"))
     numbered = global_position(clusters, [F.col("first_order").asc()], "position")
     return rooted.join(
@@ -377,8 +390,10 @@ def cluster_lookup(
     cells = cut_lineage(subcells(points, grid, min_samples))
     hits = cut_lineage(sparse_neighbour_counts(points, cells, grid))
     cores = cut_lineage(_cores(points, cells, hits, min_samples))
-    nodes = cores.groupBy("cx", "cy").agg(
-        F.min("first_order").alias("first_order"), *_extremes()
+    nodes = _with_vectors(
+        cores.groupBy("cx", "cy").agg(
+            F.min("first_order").alias("first_order"), *_extremes()
+        )
     )
     labels = cut_lineage(_label_nodes(nodes, core_edges(cores, nodes, grid)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geohotspots.config import CELL_PREFIX, CLUSTER_PREFIX, NOISE_LABEL, BoundingBox
-from geohotspots.functions.geo import hex_cell
+from geohotspots.functions.geo import with_hex_cell
 from geohotspots.functions.text import MODE_NULL_TOKENS, is_null_like
 from geohotspots.operators.dbscan import find_clusters, label_events
 
@@ -22,9 +22,7 @@ class Assignment(NamedTuple):
 
 def assign_cells(events: DataFrame, resolution: int = 9, name: str = "h3_cell") -> DataFrame:
     """Add the hexagon id of every event at ``resolution`` (0 to 15)."""
-    return events.withColumn(
-        name, hex_cell(F.col("latitude"), F.col("longitude"), resolution)
-    )
+    return with_hex_cell(events, "latitude", "longitude", resolution, name)
 
 
 def by_cluster(events: DataFrame) -> DataFrame:
