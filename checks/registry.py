@@ -454,7 +454,8 @@ WHERE {S._DIST} <= {S.d(S.EPS_M)} GROUP BY a.latitude, a.longitude""")
 def _(t):
     points = dbscan.weighted_points(t.clean, S.GRID, "read_order")
     cells = dbscan.subcells(points, S.GRID, S.MIN_SAMPLES)
-    hits = dbscan.sparse_neighbour_counts(points, cells, S.GRID)
+    sized = dbscan.sized_points(points, cells)
+    hits = dbscan.sparse_neighbour_counts(sized, cells, S.GRID)
     return hits.groupBy(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).agg(
         F.sum("hits").alias("neighbours")
     )

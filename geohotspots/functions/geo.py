@@ -42,13 +42,8 @@ def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
 
 
-def chord_term(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
-    """Squared chord of two unit vectors: four times :func:`haversine_term`."""
-    dx, dy, dz = (p - q for p, q in zip(a, b))
-    return dx * dx + dy * dy + dz * dz
-
-
 def chord_limit(metres: float) -> float:
+    """Squared chord of two unit vectors ``metres`` apart on the ground."""
     return 4.0 * haversine_limit(metres)
 
 

@@ -19,6 +19,8 @@ in read order, and a border point joins the smallest label next to it.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,6 @@ from geohotspots.config import NOISE_LABEL, BoundingBox, require_int
 from geohotspots.functions.geo import (
     SubcellGrid,
     chord_limit,
-    chord_term,
     haversine_limit,
     unit_vector,
 )
@@ -42,6 +43,7 @@ EXACT_PAIRS = 4_096
 
 _POINT = ("lat", "lon")
 _VECTOR = ("ux", "uy", "uz")
+_SPARSE = "active and not dense"
 
 
 def check_parameters(eps_m: float, min_samples: int) -> None:
@@ -77,15 +79,10 @@ def weighted_points(events: DataFrame, grid: SubcellGrid, order_by: str) -> Data
     )
 
 
-def _offset_rows(grid: SubcellGrid, offsets: list[tuple[int, int]]) -> Column:
-    return F.inline(
-        F.array(
-            *[
-                F.struct((F.col("cx") + dx).alias("tx"), (F.col("cy") + dy).alias("ty"))
-                for dx, dy in offsets
-            ]
-        )
-    )
+def _offset_rows(offsets: Iterable[tuple[int, int]]) -> Column:
+    """Generator of the sub-cells ``(tx, ty)`` around ``(cx, cy)``."""
+    rows = ", ".join(f"struct(cx + {dx} AS tx, cy + {dy} AS ty)" for dx, dy in offsets)
+    return F.expr(f"inline(array({rows}))")
 
 
 def subcells(points: DataFrame, grid: SubcellGrid, min_samples: int) -> DataFrame:
@@ -98,7 +95,7 @@ def subcells(points: DataFrame, grid: SubcellGrid, min_samples: int) -> DataFram
         F.sum("weight").alias("events"), F.count(F.lit(1)).alias("points")
     )
     around = (
-        cells.select("events", _offset_rows(grid, list(grid.offsets)))
+        cells.select("events", _offset_rows(grid.offsets))
         .groupBy(F.col("tx").alias("cx"), F.col("ty").alias("cy"))
         .agg(F.sum("events").alias("around"))
     )
@@ -112,12 +109,13 @@ def subcells(points: DataFrame, grid: SubcellGrid, min_samples: int) -> DataFram
     )
 
 
-def _vector(prefix: str = "") -> tuple[Column, ...]:
-    return tuple(F.col(f"{prefix}{c}") for c in _VECTOR)
+def _chord(a: str, b: str) -> str:
+    """Squared chord between the unit vectors in columns ``{a}ux..`` and ``{b}ux..``."""
+    return " + ".join(f"({a}{c} - {b}{c}) * ({a}{c} - {b}{c})" for c in _VECTOR)
 
 
 def _within(grid: SubcellGrid) -> Column:
-    return chord_term(_vector(), _vector("t_")) <= F.lit(chord_limit(grid.eps_m))
+    return F.expr(f"{_chord('', 't_')} <= {chord_limit(grid.eps_m)!r}D")
 
 
 def _salts(points_in_cell: Column) -> Column:
@@ -145,7 +143,7 @@ def _probe(
     links = (
         probes.select("cx", "cy")
         .distinct()
-        .select("cx", "cy", _offset_rows(grid, list(grid.offsets)))
+        .select("cx", "cy", _offset_rows(grid.offsets))
         .join(occupied, ["tx", "ty"])
     )
     spread = probes.select("cx", "cy", *_POINT, *_VECTOR).join(links, ["cx", "cy"]).select(
@@ -158,13 +156,15 @@ def _probe(
     return spread.join(salted, ["tx", "ty", "salt"]).filter(_within(grid))
 
 
-def sparse_neighbour_counts(
-    points: DataFrame, cells: DataFrame, grid: SubcellGrid
-) -> DataFrame:
+def sized_points(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """Points with the size and flags of their sub-cell, so that later steps only filter."""
+    return points.join(cells.select("cx", "cy", "points", "dense", "active"), ["cx", "cy"])
+
+
+def sparse_neighbour_counts(sized: DataFrame, cells: DataFrame, grid: SubcellGrid) -> DataFrame:
     """Events within eps of each point of an active sparse sub-cell, per target sub-cell."""
-    sized = points.join(cells.select("cx", "cy", "points", "dense", "active"), ["cx", "cy"])
-    probes = sized.filter("active and not dense")
-    return _probe(probes, sized, cells, grid).groupBy("lat", "lon", "tx", "ty").agg(F.sum("t_weight").alias("hits"))
+    pairs = _probe(sized.filter(_SPARSE), sized, cells, grid)
+    return pairs.groupBy("lat", "lon", "tx", "ty").agg(F.sum("t_weight").alias("hits"))
 
 
 def _extremes() -> list[Column]:
@@ -185,15 +185,13 @@ def _extremes() -> list[Column]:
 
 def _with_vectors(summary: DataFrame) -> DataFrame:
     """Add the unit vectors of the four extreme points."""
-    return summary.withColumns(
-        {
-            f"{p}_{c}": v
-            for p in "nsew"
-            for c, v in zip(
-                _VECTOR, unit_vector(F.col(f"{p}_lat"), F.col(f"{p}_lon"))
-            )
-        }
-    )
+    parts = {"ux": "cos({lat}) * cos({lon})", "uy": "cos({lat}) * sin({lon})", "uz": "sin({lat})"}
+    vectors = [
+        f"{text.format(lat=f'radians({p}_lat)', lon=f'radians({p}_lon)')} AS {p}_{c}"
+        for p in "nsew"
+        for c, text in parts.items()
+    ]
+    return summary.selectExpr("*", *vectors)
 
 
 _SUMMARY = (
@@ -203,30 +201,25 @@ _SUMMARY = (
 
 
 def _side(prefix: str) -> list[Column]:
-    return [F.col(c).alias(f"{prefix}_{c}") for c in _SUMMARY]
+    return [F.expr(f"{c} AS {prefix}_{c}") for c in _SUMMARY]
 
 
 def _touching(grid: SubcellGrid) -> Column:
     """True when two of the extreme points are within eps."""
-    chords = [
-        chord_term(_vector(f"a_{p}_"), _vector(f"b_{q}_")) for p in "nsew" for q in "nsew"
-    ]
-    return F.least(*chords) <= F.lit(chord_limit(grid.eps_m))
+    chords = ", ".join(_chord(f"a_{p}_", f"b_{q}_") for p in "nsew" for q in "nsew")
+    return F.expr(f"least({chords}) <= {chord_limit(grid.eps_m)!r}D")
 
 
 def _apart(grid: SubcellGrid) -> Column:
     """True only when the two bounding boxes are further apart than eps."""
-    gap_lat = F.greatest(
-        F.lit(0.0), F.col("b_s_lat") - F.col("a_n_lat"), F.col("a_s_lat") - F.col("b_n_lat")
-    )
-    gap_lon = F.greatest(
-        F.lit(0.0), F.col("b_w_lon") - F.col("a_e_lon"), F.col("a_w_lon") - F.col("b_e_lon")
+    gap_lat = "greatest(0D, b_s_lat - a_n_lat, a_s_lat - b_n_lat)"
+    gap_lon = "greatest(0D, b_w_lon - a_e_lon, a_w_lon - b_e_lon)"
+    poleward = "greatest(abs(a_n_lat), abs(a_s_lat), abs(b_n_lat), abs(b_s_lat))"
+    term = (
+        f"pow(sin(radians({gap_lat}) / 2), 2)"
+        f" + pow(cos(radians({poleward})) * sin(radians({gap_lon}) / 2), 2)"
     )
-    poleward = F.greatest(*[F.abs(F.col(f"{s}_{p}_lat")) for s in "ab" for p in "ns"])
-    term = F.pow(F.sin(F.radians(gap_lat) / 2), 2) + F.pow(
-        F.cos(F.radians(poleward)) * F.sin(F.radians(gap_lon) / 2), 2
-    )
-    return term * F.lit(1.0 - 1e-9) > F.lit(haversine_limit(grid.eps_m))
+    return F.expr(f"({term}) * {1.0 - 1e-9!r}D > {haversine_limit(grid.eps_m)!r}D")
 
 
 def _verdicts(pairs: DataFrame, grid: SubcellGrid) -> DataFrame:
@@ -271,9 +264,7 @@ def _node_id(x: Column, y: Column) -> Column:
 def core_edges(cores: DataFrame, nodes: DataFrame, grid: SubcellGrid) -> DataFrame:
     """``(u, v)`` for every two sub-cells that hold core points within eps of each other."""
     forward = [o for o in grid.offsets if o > (0, 0)]
-    here = nodes.select(
-        "cx", "cy", *_side("a"), _offset_rows(grid, forward)
-    )
+    here = nodes.select("cx", "cy", *_side("a"), _offset_rows(forward))
     there = nodes.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), *_side("b"))
     pairs = here.join(there, ["tx", "ty"]).withColumns(
         {
@@ -344,24 +335,20 @@ def core_points(
         )
     points = cut_lineage(weighted_points(events, grid, order_by))
     cells = cut_lineage(subcells(points, grid, min_samples))
-    hits = sparse_neighbour_counts(points, cells, grid)
-    return _cores(points, cells, hits, min_samples).select(*_POINT, "weight")
+    sized = cut_lineage(sized_points(points, cells))
+    hits = sparse_neighbour_counts(sized, cells, grid)
+    return _cores(sized, hits, min_samples).select(*_POINT, "weight")
 
 
-def _cores(
-    points: DataFrame, cells: DataFrame, hits: DataFrame, min_samples: int
-) -> DataFrame:
-    dense = cells.filter("dense").select("cx", "cy")
+def _cores(sized: DataFrame, hits: DataFrame, min_samples: int) -> DataFrame:
     enough = (
         hits.groupBy(*_POINT)
         .agg(F.sum("hits").alias("n"))
         .filter(F.col("n") >= min_samples)
         .select(*_POINT)
     )
-    sparse = cells.filter("active and not dense").select("cx", "cy")
-    return points.join(dense, ["cx", "cy"], "left_semi").unionByName(
-        points.join(sparse, ["cx", "cy"], "left_semi").join(enough, list(_POINT), "left_semi")
-    )
+    sparse = sized.filter(_SPARSE).join(enough, list(_POINT), "left_semi")
+    return sized.filter("dense").unionByName(sparse)
 
 
 def _label_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -388,8 +375,9 @@ def cluster_lookup(
     """
     points = cut_lineage(weighted_points(events, grid, order_by))
     cells = cut_lineage(subcells(points, grid, min_samples))
-    hits = cut_lineage(sparse_neighbour_counts(points, cells, grid))
-    cores = cut_lineage(_cores(points, cells, hits, min_samples))
+    sized = cut_lineage(sized_points(points, cells))
+    hits = cut_lineage(sparse_neighbour_counts(sized, cells, grid))
+    cores = cut_lineage(_cores(sized, hits, min_samples))
     nodes = _with_vectors(
         cores.groupBy("cx", "cy").agg(
             F.min("first_order").alias("first_order"), *_extremes()
@@ -397,15 +385,14 @@ def cluster_lookup(
     )
     labels = cut_lineage(_label_nodes(nodes, core_edges(cores, nodes, grid)))
 
-    sparse = cells.filter("active and not dense").select("cx", "cy")
-    sparse_cores = cores.join(sparse, ["cx", "cy"], "left_semi")
-    others = points.join(sparse, ["cx", "cy"], "left_semi").join(
+    sparse_cores = cores.filter("not dense")
+    others = sized.filter(_SPARSE).join(
         sparse_cores.select(*_POINT), list(_POINT), "left_anti"
     )
     dense = cells.filter("dense").select(F.col("cx").alias("tx"), F.col("cy").alias("ty"))
     next_to_dense = (
-        hits.join(others.select(*_POINT), list(_POINT), "left_semi")
-        .join(dense, ["tx", "ty"], "left_semi")
+        hits.join(dense, ["tx", "ty"], "left_semi")
+        .join(sparse_cores.select(*_POINT), list(_POINT), "left_anti")
         .select(*_POINT, "tx", "ty")
     )
     next_to_sparse = _probe(
