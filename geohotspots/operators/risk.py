@@ -34,6 +34,8 @@ _TREE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, path double"
 )
 _HASH_RANGE = 2**31
+# Clustering passes over the rows many times: few rows should not mean many tasks.
+ROWS_PER_PARTITION = 50_000
 
 
 def risk_features(scored: DataFrame) -> DataFrame:
@@ -193,8 +195,9 @@ def risk_tiers(
 
     Rows are range-placed and sorted by id first, so that the seeded starts repeat.
     """
+    parts = math.ceil(max(standardised.count(), 1) / ROWS_PER_PARTITION)
     vectors = cut_lineage(
-        standardised.repartitionByRange(8, "hotspot_id")
+        standardised.repartitionByRange(parts, "hotspot_id")
         .sortWithinPartitions("hotspot_id")
         .select("hotspot_id", array_to_vector(F.array(*FEATURES)).alias("features"))
     )
@@ -204,7 +207,7 @@ def risk_tiers(
     def fit(start: int):
         return KMeans(k=3, seed=seed + start, maxIter=100).fit(vectors)
 
-    with ThreadPool(4) as pool:
+    with ThreadPool(8) as pool:
         models = pool.map(fit, range(restarts))
     best = min(models, key=lambda m: m.summary.trainingCost)
     placed = best.transform(vectors).select("hotspot_id", "prediction")
