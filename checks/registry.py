@@ -14,6 +14,7 @@ from checks.sql import fixed, query
 from checks.tables import clean_rows, raw_rows
 from geohotspots.config import TimeWindow
 from geohotspots.functions import text
+from geohotspots.functions.timestamps import wall_clock
 from geohotspots.operators import (
     activity,
     clean,
@@ -348,8 +349,8 @@ def _(t):
     parsed = clean.parse_timestamps(t.raw)
     return parsed.select(
         "read_order",
-        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
-        F.col("closed_at").cast("timestamp_ntz").alias("closed_at"),
+        wall_clock(F.col("created_at"), "UTC").alias("created_at"),
+        wall_clock(F.col("closed_at"), "UTC").alias("closed_at"),
         "created_local",
     )
 
@@ -415,7 +416,7 @@ def _(t):
         "id",
         "latitude",
         "longitude",
-        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+        wall_clock(F.col("created_at"), "UTC").alias("created_at"),
         "created_local",
         _list_text(F.col("violation_type")).alias("violation_type"),
         "vehicle_type",
@@ -638,11 +639,8 @@ def _(t):
 @register("default_as_of", "clean", "SELECT max(created_at) AS as_of FROM clean")
 def _(t):
     latest = t.clean.agg(F.max("created_at").alias("as_of"))
-    return latest.select(
-        F.coalesce("as_of", priority.instant(priority.DEFAULT_AS_OF))
-        .cast("timestamp_ntz")
-        .alias("as_of")
-    )
+    as_of = F.coalesce("as_of", priority.instant(priority.DEFAULT_AS_OF))
+    return latest.select(wall_clock(as_of, "UTC").alias("as_of"))
 
 
 @register("minmax", "factors_cell", f"SELECT hotspot_id, {fixed('frequency', 'frequency')}, {fixed('persistence', 'persistence')} FROM factors_cell")

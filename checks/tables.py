@@ -54,7 +54,7 @@ SELECT CAST(event_id AS VARCHAR(20)) AS id, event_id AS read_order, latitude, lo
  CASE WHEN user_id % 7 = 6 THEN '' ELSE concat('Station ', CAST(user_id % 7 AS VARCHAR(20))) END AS police_station,
  CASE event_id % 5 WHEN 0 THEN concat('Junction ', CAST(user_id % 9 AS VARCHAR(20)))
       WHEN 1 THEN '  ' ELSE NULL END AS junction_name,
- CAST(ts AS TIMESTAMP) AS created_at,
+ {instant} AS created_at,
  {local} AS created_local,
  concat('V', CAST(user_id AS VARCHAR(20))) AS vehicle_number
 FROM ({geo}) g
@@ -66,6 +66,7 @@ _SPARK = {
     "arr": "array",
     "empty": "cast(array() AS array<string>)",
     "local": "ts + INTERVAL '330' MINUTE",
+    "instant": "CAST(convert_timezone('UTC', current_timezone(), ts) AS TIMESTAMP)",
     "geo": GEO_SQL,
 }
 _DUCK = {
@@ -74,6 +75,7 @@ _DUCK = {
     "arr": "list_value",
     "empty": "CAST([] AS VARCHAR[])",
     "local": "ts + INTERVAL 330 MINUTE",
+    "instant": "ts",
     "geo": GEO_SQL.format(events="events"),
 }
 

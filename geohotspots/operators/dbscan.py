@@ -33,7 +33,7 @@ from geohotspots.functions.geo import (
 )
 from geohotspots.operators.components import connected_components
 from geohotspots.operators.ordering import global_position
-from geohotspots.session import cut_lineage
+from geohotspots.session import cut_lineage, store
 
 EPS_MAX_M = 5_000.0
 # Points of one sub-cell that share a salt.
@@ -333,9 +333,9 @@ def core_points(
             F.col("longitude").alias("lon"),
             F.lit(1).cast("bigint").alias("weight"),
         )
-    points = cut_lineage(weighted_points(events, grid, order_by))
+    points = store(weighted_points(events, grid, order_by))
     cells = cut_lineage(subcells(points, grid, min_samples))
-    sized = cut_lineage(sized_points(points, cells))
+    sized = store(sized_points(points, cells))
     hits = sparse_neighbour_counts(sized, cells, grid)
     return _cores(sized, hits, min_samples).select(*_POINT, "weight")
 
@@ -373,11 +373,11 @@ def cluster_lookup(
     A dense sub-cell has one label for all its points. A sparse one lists its labelled
     coordinates, fewer than ``min_samples`` of them.
     """
-    points = cut_lineage(weighted_points(events, grid, order_by))
+    points = store(weighted_points(events, grid, order_by))
     cells = cut_lineage(subcells(points, grid, min_samples))
-    sized = cut_lineage(sized_points(points, cells))
-    hits = cut_lineage(sparse_neighbour_counts(sized, cells, grid))
-    cores = cut_lineage(_cores(sized, hits, min_samples))
+    sized = store(sized_points(points, cells))
+    hits = store(sparse_neighbour_counts(sized, cells, grid))
+    cores = store(_cores(sized, hits, min_samples))
     nodes = _with_vectors(
         cores.groupBy("cx", "cy").agg(
             F.min("first_order").alias("first_order"), *_extremes()

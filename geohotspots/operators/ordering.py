@@ -86,22 +86,26 @@ def exact_quantiles(
     )
     ranked = running_sums(counts, [F.col("v").asc()], {"upto": F.col("c")})
     total = ranked.agg(F.max("upto")).scalar()
-    wanted = F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("prob_no"), F.lit(float(p)).alias("probability"))
-                for i, p in enumerate(probabilities)
-            ]
-        )
-    )
-    placed = ranked.withColumn("n", total).select("*", wanted)
     target = F.col("probability") * (F.col("n") - 1)
     low, high = F.floor(target) + 1, F.ceil(target) + 1
 
     def holds(position: Column) -> Column:
         return (position > F.col("upto") - F.col("c")) & (position <= F.col("upto"))
 
-    stats = placed.filter(holds(low) | holds(high)).groupBy("prob_no", "probability").agg(
+    # Most values meet no quantile: they are dropped before any row is multiplied.
+    wanted = F.array(
+        *[
+            F.struct(F.lit(i).alias("prob_no"), F.lit(float(p)).alias("probability"))
+            for i, p in enumerate(probabilities)
+        ]
+    )
+
+    def meets(entry: Column) -> Column:
+        at = entry["probability"] * (F.col("n") - 1)
+        return holds(F.floor(at) + 1) | holds(F.ceil(at) + 1)
+
+    placed = ranked.withColumn("n", total).select("*", F.inline(F.filter(wanted, meets)))
+    stats = placed.groupBy("prob_no", "probability").agg(
         F.max(F.when(holds(low), F.col("v"))).alias("lo"),
         F.max(F.when(holds(high), F.col("v"))).alias("hi"),
         F.max(target - F.floor(target)).alias("share"),

@@ -13,11 +13,18 @@ from geohotspots.operators.impact import score_impact
 from geohotspots.operators.priority import rank_zones
 from geohotspots.operators.risk import attach_risk, compute_risk
 from geohotspots.operators.spatial import assign_hotspots, summarise
-from geohotspots.session import cut_lineage
+from geohotspots.session import cut_lineage, store
 from geohotspots.sources import writers
 from geohotspots.sources.readers import scan_csv
 
 
+# What a run reads of an event; everything else is dropped before events are stored.
+EVENT_COLUMNS = (
+    "id", "read_order", "latitude", "longitude", "police_station", "junction_name",
+    "violation_type", "created_at", "created_local",
+)
+
+
 @dataclass(frozen=True)
 class ZoneTables:
     """Tables of a run, all but ``assigned`` of hotspot size."""
@@ -85,12 +92,23 @@ def zone_tables(
     )
 
 
-def export_all(tables: ZoneTables, report: DataFrame, out_dir: str) -> dict[str, str]:
-    """Write every artifact below ``out_dir``; the committer makes each one atomic."""
-    return {
-        "csv": writers.write_priority_csv(tables.zones, f"{out_dir}/priority_zones.csv"),
-        "geojson": writers.write_geojson_document(
+def export_all(
+    tables: ZoneTables, report: DataFrame, out_dir: str, *, single_file: bool = True
+) -> dict[str, str]:
+    """Write every artifact below ``out_dir``; the committer makes each one atomic.
+
+    Hotspots are bounded by the area over eps squared, so one file per artifact is the
+    default. Without ``single_file`` all parts are written in parallel and the GeoJSON
+    document gives way to its line-delimited form.
+    """
+    paths = {}
+    if single_file:
+        paths["geojson"] = writers.write_geojson_document(
             tables.scored, f"{out_dir}/hotspots.geojson"
+        )
+    return paths | {
+        "csv": writers.write_priority_csv(
+            tables.zones, f"{out_dir}/priority_zones.csv", single_file=single_file
         ),
         "features": writers.write_geojson(tables.scored, f"{out_dir}/hotspots.geojsonl"),
         "peak_windows": writers.write_peak_windows(
@@ -106,6 +124,7 @@ def run(
     out_dir: str,
     *,
     multi_line: bool = False,
+    single_file: bool = True,
     tz: str = LOCAL_TZ,
     bbox: BoundingBox = BoundingBox(),
     **parameters,
@@ -113,6 +132,8 @@ def run(
     """CSV to artifacts. ``parameters`` go to :func:`zone_tables`."""
     raw = scan_csv(spark, csv_path, multi_line=multi_line)
     report = cut_lineage(clean.ingestion_report(raw, tz=tz, bbox=bbox))
-    events = cut_lineage(clean.clean_events(raw, tz=tz, bbox=bbox))
+    cleaned = clean.clean_events(raw, tz=tz, bbox=bbox)
+    events = store(cleaned.select(*[c for c in EVENT_COLUMNS if c in cleaned.columns]))
     tables = zone_tables(events, bbox=bbox, **parameters)
-    return RunResult(tables, report, export_all(tables, report, out_dir))
+    paths = export_all(tables, report, out_dir, single_file=single_file)
+    return RunResult(tables, report, paths)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,8 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Generated methods above 8000 bytes are never compiled by the JVM.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     for key, value in settings.items():
@@ -47,3 +50,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: stored outside the executors, so their loss costs nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Written table in the shared folder, for results that grow with the events.
+
+    Unlike a checkpoint it is columnar and compressed, and later scans read only the
+    columns they need. It stays until the folder is cleared.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
