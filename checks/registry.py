@@ -100,7 +100,9 @@ class Tables:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return panel.busy_cells(panel.daily_counts(self.cells8), MIN_CELL_TOTAL)
+        return cut_lineage(
+            panel.busy_cells(panel.daily_counts(self.cells8), MIN_CELL_TOTAL)
+        )
 
     @cached_property
     def panel(self) -> DataFrame:

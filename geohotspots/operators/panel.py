@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from geohotspots.operators.ordering import global_position
+from geohotspots.session import cut_lineage
 
 # --- fixed values ------------------------------------------------------------------
 PANEL_RESOLUTION = 8
@@ -123,8 +124,11 @@ def build_daily_panel(
     min_cell_total: int = MIN_CELL_TOTAL,
     codes: DataFrame | None = None,
 ) -> DataFrame:
-    """Zero-filled panel with all features; ``celled`` events carry ``h3_cell``."""
-    daily = busy_cells(daily_counts(celled), min_cell_total)
+    """Zero-filled panel with all features; ``celled`` events carry ``h3_cell``.
+
+    The daily counts are stored: span, codes and panel then read them, not the events.
+    """
+    daily = cut_lineage(busy_cells(daily_counts(celled), min_cell_total))
     panel = add_calendar(add_rolling(add_lags(zero_fill(daily))))
     return add_cell_code(panel, cell_codes(daily) if codes is None else codes)
 
