@@ -149,30 +149,45 @@ def clean_events(
 
 
 def ingestion_report(
-    raw: DataFrame, *, tz: str = LOCAL_TZ, bbox: BoundingBox = BoundingBox()
+    raw: DataFrame,
+    *,
+    cleaned: DataFrame | None = None,
+    tz: str = LOCAL_TZ,
+    bbox: BoundingBox = BoundingBox(),
 ) -> DataFrame:
     """Rows ``(metric, n)``: rows read, rows retained, total dropped, drops by reason.
 
-    ``invalid_geo`` is always present, the other reasons only when they occur. One scan
-    and one shuffle: valid rows are counted per id, so duplicates are the valid rows
-    beyond one per id.
+    ``invalid_geo`` is always present, the other reasons only when they occur. Duplicates
+    are the valid rows beyond the retained ones. With the ``cleaned`` events at hand,
+    their number says how many were retained and nothing is shuffled by id; otherwise
+    valid rows are counted per id.
     """
     tagged = tag_rejects(raw, tz=tz, bbox=bbox)
-    per_key = tagged.groupBy(
-        "reject_reason", F.when(F.col("reject_reason").isNull(), F.col("id")).alias("key")
-    ).agg(F.count(F.lit(1)).alias("n"))
     valid = F.col("reject_reason").isNull()
+    keys = ["reject_reason"]
+    if cleaned is None:
+        tagged = tagged.withColumn("key", F.when(valid, F.col("id")))
+        keys.append("key")
+    counts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
     def total(condition: Column, value: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("bigint")
 
-    totals = per_key.agg(
+    retained = total(valid, F.lit(1))
+    if cleaned is not None:
+        retained = cleaned.agg(F.count(F.lit(1))).scalar()
+    totals = counts.agg(
         total(F.lit(True), F.col("n")).alias("total_rows_read"),
-        total(valid, F.lit(1)).alias("rows_retained"),
+        total(valid, F.col("n")).alias("valid"),
         total(F.col("reject_reason") == UNPARSEABLE, F.col("n")).alias(UNPARSEABLE),
         total(F.col("reject_reason") == INVALID_GEO, F.col("n")).alias(INVALID_GEO),
-        total(valid, F.col("n") - 1).alias(DUPLICATE),
-    ).withColumn("total_dropped", F.col("total_rows_read") - F.col("rows_retained"))
+        retained.alias("rows_retained"),
+    ).withColumns(
+        {
+            DUPLICATE: F.col("valid") - F.col("rows_retained"),
+            "total_dropped": F.col("total_rows_read") - F.col("rows_retained"),
+        }
+    )
     metrics = (
         "total_rows_read", "rows_retained", "total_dropped",
         UNPARSEABLE, INVALID_GEO, DUPLICATE,

@@ -284,8 +284,12 @@ def core_edges(cores: DataFrame, nodes: DataFrame, grid: SubcellGrid) -> DataFra
         if large.isEmpty():
             return edges.distinct()
         level += 2
+        crowded = large.select("u").union(large.select("v")).distinct()
+        inside = cores.withColumn("u", _node_id(F.col("cx"), F.col("cy"))).join(
+            crowded, "u", "left_semi"
+        )
         children = _with_vectors(
-            cores.groupBy(
+            inside.groupBy(
                 grid.column(F.col("lon"), level).alias("x"),
                 grid.row(F.col("lat"), level).alias("y"),
             ).agg(*_extremes())

@@ -131,9 +131,9 @@ def run(
 ) -> RunResult:
     """CSV to artifacts. ``parameters`` go to :func:`zone_tables`."""
     raw = scan_csv(spark, csv_path, multi_line=multi_line)
-    report = cut_lineage(clean.ingestion_report(raw, tz=tz, bbox=bbox))
     cleaned = clean.clean_events(raw, tz=tz, bbox=bbox)
     events = store(cleaned.select(*[c for c in EVENT_COLUMNS if c in cleaned.columns]))
+    report = cut_lineage(clean.ingestion_report(raw, cleaned=events, tz=tz, bbox=bbox))
     tables = zone_tables(events, bbox=bbox, **parameters)
     paths = export_all(tables, report, out_dir, single_file=single_file)
     return RunResult(tables, report, paths)

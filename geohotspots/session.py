@@ -20,6 +20,7 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.checkpoint.compress": "true",
         # Generated methods above 8000 bytes are never compiled by the JVM.
         "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,

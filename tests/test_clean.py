@@ -115,6 +115,10 @@ def test_first_valid_row_of_an_id_wins_and_report_adds_up(spark):
             "total_rows_read": 8, "rows_retained": 4, "total_dropped": 4,
             "invalid_geo": 1, "unparseable_created_at": 1, "duplicate_id": 2,
         }
+        cleaned = clean.clean_events(raw)
+        assert report == {
+            r.metric: r.n for r in clean.ingestion_report(raw, cleaned=cleaned).collect()
+        }
 
 
 def test_report_lists_geography_even_without_drops(spark):
