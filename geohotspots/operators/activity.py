@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geohotspots.functions.text import trim_ws
+from geohotspots.operators.spatial import in_hotspot
 
 # --- fixed values: severity by violation token ---------------------------------
 SEVERITY = {
@@ -82,14 +83,15 @@ def event_measures(events: DataFrame) -> DataFrame:
 
 def hotspot_activity(assigned: DataFrame) -> DataFrame:
     """Partial sums per hotspot, cell, station, local date and hour."""
-    rows = event_measures(assigned.filter(F.col("hotspot_id").isNotNull()))
-    return rows.groupBy(
+    rows = event_measures(assigned.filter(in_hotspot(assigned)))
+    sums = rows.groupBy(
         "hotspot_id", "cluster_label", "h3_cell", "police_station", "local_date", "hour"
     ).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("hotspot_id").alias("n"),
         F.sum("latitude").alias("sum_lat"),
         F.sum("longitude").alias("sum_lon"),
         F.max("severity").alias("severity"),
         F.sum("near").alias("near"),
         F.max("created_at").alias("last_at"),
     )
+    return sums.filter(F.col("n") > 0)

@@ -104,10 +104,12 @@ def feature_importance(model: PipelineModel, features: DataFrame) -> DataFrame:
 
 def cell_dim(celled: DataFrame, codes: DataFrame) -> DataFrame:
     """Known cells with code, mean coordinate and modal station ('' counts)."""
-    sums = celled.groupBy("h3_cell", "police_station").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("latitude").alias("lat"),
-        F.sum("longitude").alias("lon"),
+    sums = cut_lineage(
+        celled.groupBy("h3_cell", "police_station").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("latitude").alias("lat"),
+            F.sum("longitude").alias("lon"),
+        )
     )
     centres = sums.groupBy("h3_cell").agg(
         (F.sum("lat") / F.sum("n")).alias("centroid_lat"),

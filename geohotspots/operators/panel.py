@@ -28,10 +28,12 @@ def _by_date() -> WindowSpec:
 
 def daily_counts(events: DataFrame) -> DataFrame:
     """Events per cell and local date."""
-    usable = events.filter("h3_cell is not null and created_local is not null")
-    return usable.groupBy("h3_cell", F.to_date("created_local").alias("date")).agg(
-        F.count(F.lit(1)).alias("count")
+    usable = F.col("h3_cell").isNotNull() & F.col("created_local").isNotNull()
+    counts = events.groupBy("h3_cell", F.to_date("created_local").alias("date")).agg(
+        F.count(F.when(usable, 1)).alias("count")
     )
+    # Not a filter on the cell: it would be computed once more for every event.
+    return counts.filter(F.col("count") > 0)
 
 
 def busy_cells(daily: DataFrame, min_cell_total: int = MIN_CELL_TOTAL) -> DataFrame:

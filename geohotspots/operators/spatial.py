@@ -11,6 +11,7 @@ from geohotspots.config import CELL_PREFIX, CLUSTER_PREFIX, NOISE_LABEL, Boundin
 from geohotspots.functions.geo import with_hex_cell
 from geohotspots.functions.text import MODE_NULL_TOKENS, is_null_like
 from geohotspots.operators.dbscan import find_clusters, label_events
+from geohotspots.session import cut_lineage
 
 
 class Assignment(NamedTuple):
@@ -68,7 +69,7 @@ def assign_hotspots(
 
 def membership(assigned: DataFrame) -> DataFrame:
     """``(id, hotspot_id)`` of every event that belongs to a hotspot."""
-    return assigned.filter(F.col("hotspot_id").isNotNull()).select("id", "hotspot_id")
+    return assigned.filter(in_hotspot(assigned)).select("id", "hotspot_id")
 
 
 def modal_value(
@@ -85,29 +86,38 @@ def modal_value(
     distinct value, so no group is gathered.
     """
     usable = F.col(value).isNotNull() if skip is None else ~is_null_like(F.col(value), skip)
-    counts = (
-        df.filter(usable)
-        .groupBy(*by, value)
-        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
+    counts = df.groupBy(*by, value).agg(
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n")
     )
-    best = F.min(F.struct((-F.col("_n")).alias("rank"), F.col(value).alias("value")))
-    return counts.groupBy(*by).agg(best.alias("_best")).select(
+    # A condition inside the aggregate, not a filter: Spark would push a filter on the
+    # value down to the rows and compute the value there once more.
+    candidate = F.when(usable, F.struct((-F.col("_n")).alias("rank"), F.col(value).alias("value")))
+    best = counts.groupBy(*by).agg(F.min(candidate).alias("_best"))
+    return best.filter(F.col("_best").isNotNull()).select(
         *by, F.col("_best.value").alias(value)
     )
 
 
+def in_hotspot(assigned: DataFrame) -> Column:
+    """Condition for events of a hotspot, stated on the label where there is one.
+
+    The id of a cell is a long expression that a null test would repeat per event.
+    """
+    if "cluster_label" in assigned.columns:
+        return F.coalesce(F.col("cluster_label") != NOISE_LABEL, F.lit(True))
+    return F.col("hotspot_id").isNotNull()
+
+
 def _groups(assigned: DataFrame) -> DataFrame:
+    """Stored partial sums of hotspot size: one pass over the events, read several times."""
     keys = ["hotspot_id", "cluster_label", "h3_cell", "police_station"]
     present = [k for k in keys if k in assigned.columns]
-    return (
-        assigned.filter(F.col("hotspot_id").isNotNull())
-        .groupBy(*present)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("latitude").alias("sum_lat"),
-            F.sum("longitude").alias("sum_lon"),
-        )
+    sums = assigned.filter(in_hotspot(assigned)).groupBy(*present).agg(
+        F.count("hotspot_id").alias("n"),
+        F.sum("latitude").alias("sum_lat"),
+        F.sum("longitude").alias("sum_lon"),
     )
+    return cut_lineage(sums.filter(F.col("n") > 0))
 
 
 def summarise(groups: DataFrame, bbox: BoundingBox = BoundingBox()) -> DataFrame:
