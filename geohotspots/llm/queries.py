@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geohotspots.llm import (
     decontaminate,
+    license_scan,
     line_dedup,
     pfair_mix,
+    pii_lstm,
+    pitman_yor,
     quality_crf,
+    rule_ledger,
+    secret_cnn,
     simhash_bk,
 )
 from geohotspots.llm.common import table
@@ -28,17 +33,39 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op3_char_lstm_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_lstm.personal_data(docs, pii_lstm.train(docs))
+
+
+def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ledger.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
 
 
+def op6_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_cnn.secrets(docs, secret_cnn.train(docs))
+
+
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return pfair_mix.mix(docs)
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,10 +75,15 @@ QUERIES: dict[str, Query] = {
     for q in (
         op1_line_crf,
         op2_line_dedup,
+        op3_char_lstm_pii,
+        op4_rule_ledger,
         op5_spaced_seeds,
+        op6_char_cnn_secrets,
         op7_pfair_mix,
+        op8_pitman_yor,
+        op9_license_scan,
         op10_simhash_bktree,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_rule_ledger": rule_ledger.oracle_sql()}
