@@ -8,6 +8,7 @@ lines have an edit similarity of at least ``SIMILARITY`` connect lines into grou
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -115,48 +116,56 @@ def line_prints(texts: list[str]) -> dict:
     return out
 
 
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both texts without their common beginning and end, which cost no edit."""
+
+    def common(x: str, y: str) -> int:
+        low, high = 0, min(len(x), len(y))
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if x[low:middle] == y[low:middle] else (low, middle - 1)
+        return low
+
+    n = common(a, b)
+    a, b = a[n:], b[n:]
+    n = common(a[::-1], b[::-1])
+    return (a[:-n], b[:-n]) if n else (a, b)
+
+
 def edit_distance_within(a: str, b: str, most: int) -> bool:
     """Whether the Levenshtein distance is at most ``most``.
 
-    Follows the furthest point of each diagonal, so the work grows with the distance and
-    not with the product of the lengths.
+    A bound from the characters alone comes first; then one bit vector for each character
+    of ``b`` holds a whole column of differences (whole numbers of any length).
     """
+    a, b = _trimmed(a, b)
     if abs(len(a) - len(b)) > most:
         return False
-
-    def slide(i: int, j: int) -> int:
-        """Length of the common run from here, by doubling steps."""
-        start, step = i, 16
-        while a[i : i + step] == b[j : j + step] and i < len(a) and j < len(b):
-            i, j, step = i + step, j + step, step * 2
-        i, j = min(i, len(a)), j - max(0, i - len(a))
-        while step > 1:
-            step //= 2
-            part = a[i : i + step]
-            if part and len(part) == step and part == b[j : j + step]:
-                i, j = i + step, j + step
-        while i < len(a) and j < len(b) and a[i] == b[j]:
-            i, j = i + 1, j + 1
-        return i - start
-
-    reach = {0: slide(0, 0)}
-    for e in range(most + 1):
-        if reach.get(len(b) - len(a), -1) >= len(a):
-            return True
-        if e == most:
+    if not a or not b:
+        return True
+    left, right = Counter(a), Counter(b)
+    if max((left - right).total(), (right - left).total()) > most:
+        return False
+    if len(a) < len(b):
+        a, b = b, a
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, len(a) - 1
+    up, down, distance = full, 0, len(a)
+    for left_over, c in zip(range(len(b) - 1, -1, -1), b):
+        same = at.get(c, 0)
+        x = same | down
+        diagonal = (((x & up) + up) ^ up) | x
+        plus = (down | ~(diagonal | up)) & full
+        minus = diagonal & up
+        distance += (plus >> last & 1) - (minus >> last & 1)
+        if distance - left_over > most:
             return False
-        step: dict[int, int] = {}
-        for k in range(-e - 1, e + 2):
-            i = max(
-                reach.get(k, -2) + 1,
-                reach.get(k - 1, -2),
-                reach.get(k + 1, -2) + 1,
-            )
-            i = min(i, len(a), len(b) - k)
-            if i >= 0 and i + k >= 0:
-                step[k] = i + slide(i, i + k)
-        reach = step
-    return False
+        plus, minus = plus << 1 | 1, minus << 1
+        up = (minus | ~(diagonal | plus)) & full
+        down = plus & diagonal & full
+    return distance <= most
 
 
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
