@@ -32,6 +32,15 @@ def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
+def carried(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``row``, a struct of all columns of ``df``, beside new columns.
+
+    The names of the new columns may clash with any name in ``df``; ``select("row.*")``
+    gives the input columns back.
+    """
+    return df.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def struct_udf(fn: Callable[[list], dict], schema: str):
     """Arrow-batched function of one text column.
 

@@ -10,21 +10,21 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geohotspots.llm.common import WordCodes, bare, struct_udf, window_codes, word_batches, words_of
+from geohotspots.llm.common import WordCodes, bare, carried, struct_udf, window_codes, word_batches, words_of
 
-#: Three masks of eight words over a span of eleven. Any two replaced words that are at
-#: least a span apart, and most that are closer, leave a window that some mask accepts.
-SEEDS = ("11101100111", "11011011011", "11100111011")
-SPAN = len(SEEDS[0])
 #: An overlap is an aligned run of this many words (the whole item, if it is shorter) ...
 OVERLAP = 13
 #: ... of which this share is equal.
 SIMILARITY = 0.8
+#: Masks of six words over a span of eight. However the words that a run of ``OVERLAP`` may
+#: lack are placed, one mask fits at one place of the run (a test tries all placements).
+SEEDS = ("11010111", "11110011")
 #: Benchmark words of one block; each block is one index of a proven size bound.
 BLOCK_WORDS = 1_000_000
 _BLOOM_BITS = 22
@@ -40,15 +40,15 @@ class ItemIndex:
         kept = [i for i, w in enumerate(words) if len(w)]
         self.ids = np.array([ids[i] for i in kept], np.int64)
         self.words = [words[i] for i in kept]
-        #: Windows are hashed by these offsets; items below the span only as a whole.
-        self.shapes = [tuple(i for i, bit in enumerate(s) if bit == "1") for s in SEEDS]
-        short = sorted({len(w) for w in self.words if len(w) < SPAN})
+        #: Windows are hashed by the offsets under the ones of a mask. Items shorter than an
+        #: overlap have masks of their own, one for each choice of the words they may lack.
         self.tables = []
-        for shape in self.shapes:
-            self.tables.append((shape, self._entries(shape, lambda w: len(w) >= SPAN)))
-        for n in short:
-            shape = tuple(range(n))
-            self.tables.append((shape, self._entries(shape, lambda w, n=n: len(w) == n)))
+        for seed in SEEDS:
+            shape = tuple(i for i, bit in enumerate(seed) if bit == "1")
+            self.tables.append((shape, self._entries(shape, lambda w: len(w) >= OVERLAP)))
+        for n in sorted({len(w) for w in self.words if len(w) < OVERLAP}):
+            for shape in combinations(range(n), math.ceil(n * SIMILARITY - 1e-9)):
+                self.tables.append((shape, self._entries(shape, lambda w, n=n: len(w) == n)))
 
     def _entries(self, shape, chosen):
         codes, items, places = [], [], []
@@ -175,10 +175,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any verified overlap, with their columns."""
-    columns = docs.columns
-    return (
-        docs.withColumn("_hits", overlap_column(docs, benchmark))
-        .filter(F.size("_hits") == 0)
-        .select(*[F.col(f"`{c}`") for c in columns])
-    )
+    """The rows of ``docs`` without any verified overlap, with all their columns."""
+    found = carried(docs, {"hits": overlap_column(docs, benchmark)})
+    return found.filter(F.size("hits") == 0).select("row.*")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from geohotspots.llm.common import struct_udf
+from geohotspots.llm.common import BATCH_WORDS, CACHED_WORDS, carried, struct_udf
 from geohotspots.llm.pigeonhole import hamming_links
 from geohotspots.operators.components import connected_components
 from geohotspots.session import store
@@ -25,12 +25,14 @@ from geohotspots.session import store
 RADIUS, BLOCKS, SIMILARITY = 3, 5, 0.8
 
 _OTHER, _DIGITS = re.compile(r"\W+"), re.compile(r"[0-9]+")
-#: Words that a worker keeps; words of one sum of 16-bit counters.
-_KEPT_WORDS, _SUMMED = 500_000, 60_000
+#: Distinct words of one sum of 16-bit counters.
+_SUMMED = 60_000
 
 
 def normal_word(word: str) -> str:
     """Lower case, letters and digits only (a space between their runs), digit runs as 0."""
+    if word.isalpha():
+        return word.lower()
     return _DIGITS.sub("0", _OTHER.sub(" ", word.lower())).strip()
 
 
@@ -38,81 +40,90 @@ def normal_line(line: str) -> str:
     return " ".join(filter(None, map(normal_word, line.split())))
 
 
-class _Words(dict):
-    """Row of each word in the tables of hashes and of spread hash bits.
-
-    A row holds the 64 bits of a word's hash as counters of 16 bits. Row 0 stands for words
-    without a letter or digit.
-    """
-
-    def __init__(self):
-        super().__init__()
-        self.forms: list[str] = [""]
-        self.filled = 1
-        self.codes = np.zeros(4096, np.uint64)
-        self.spread = np.zeros((4096, 16), np.uint64)
+class _Codes(dict):
+    """Hash of each word's normal form; 0 for words without a letter or digit."""
 
     def __missing__(self, word: str) -> int:
         form = normal_word(word)
-        row = len(self.forms) if form else 0
-        if form:
-            self.forms.append(form)
-        self[word] = row
-        return row
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        if len(self.forms) > _KEPT_WORDS:
-            self.clear()
-            self.forms, self.filled = [""], 1
-        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.filled < len(self.forms):
-            while len(self.forms) > len(self.codes):
-                self.codes = np.concatenate([self.codes, np.empty_like(self.codes)])
-                self.spread = np.concatenate([self.spread, np.empty_like(self.spread)])
-            new = self.forms[self.filled :]
-            codes = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-            bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            self.codes[self.filled : len(self.forms)] = codes
-            self.spread[self.filled : len(self.forms)] = bits.astype(np.uint16).view(np.uint64)
-            self.filled = len(self.forms)
-        return found
-
-
-_WORDS = _Words()
-
-
-def _line_hashes(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-    """Hash and SimHash of lines of at least one word, none of row 0."""
-    place = (np.arange(len(rows)) - np.repeat(starts, lengths)).astype(np.uint64)
-    weight = (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    weight = (weight ^ (weight >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
-    mixed = np.add.reduceat(_WORDS.codes[rows] * weight, starts)
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        code = xxhash.xxh64_intdigest(form) or 1 if form else 0
+        if len(self) < CACHED_WORDS:
+            self[word] = code
+        return code
+
+
+_CODES = _Codes()
+#: The bits of a byte as eight counters of 16 bits, in two numbers.
+_COUNTERS = (
+    np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint16).view(np.uint64)
+)
+
+
+def simhashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A bit is 1 if it is set in over half of the codes between two starts."""
+    lengths = np.diff(np.r_[starts, len(codes)])
     cuts = starts
-    if len(rows) > _SUMMED:
-        cuts = np.unique(np.r_[starts, np.arange(0, len(rows), _SUMMED)])
-    sums = np.add.reduceat(_WORDS.spread[rows], cuts, axis=0).view(np.uint16)
+    if len(codes) > _SUMMED:
+        cuts = np.unique(np.r_[starts, np.arange(0, len(codes), _SUMMED)])
+    octets = codes.view(np.uint8).reshape(-1, 8)
+    sums = np.concatenate(
+        [np.add.reduceat(_COUNTERS[octets[:, i]], cuts, axis=0).view(np.uint16) for i in range(8)], axis=1
+    ).astype(np.int64)
     if len(cuts) > len(starts):
-        sums = np.add.reduceat(sums.astype(np.int64), np.searchsorted(cuts, starts), axis=0)
-    ones = 2 * sums.astype(np.int64) > lengths[:, None]
-    return mixed ^ (mixed >> np.uint64(32)), np.packbits(ones, axis=1, bitorder="little").view(np.int64).ravel()
+        sums = np.add.reduceat(sums, np.searchsorted(cuts, starts), axis=0)
+    return np.packbits(2 * sums > lengths[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def _line_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the sequences of words."""
+    place = np.arange(len(codes)) - np.repeat(starts, lengths)
+    weight = (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    weight = (weight ^ (weight >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+    mixed = np.add.reduceat(codes * weight, starts)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(32))
 
 
 def line_prints(texts: list[str]) -> dict:
-    """For every text, the numbers, hashes and SimHashes of its lines that have a word."""
+    """For every text, the numbers, hashes and SimHashes of its lines that have a word.
+
+    A line's SimHash counts each of its distinct words once, so that the few words that
+    every line repeats do not make unlike lines alike.
+    """
     out: dict[str, list] = {"at": [], "line": [], "fp": []}
+    words: list[str] = []
+    sizes: list[int] = []
+    ends: list[int] = []
+
+    def flush() -> None:
+        codes = np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
+        number = np.repeat(np.arange(len(sizes)), sizes)
+        real = codes > 0
+        codes, number = codes[real], number[real]
+        used, starts, counts = np.unique(number, return_index=True, return_counts=True)
+        hashes = fps = np.empty(0, np.int64)
+        if len(codes):
+            hashes = _line_hashes(codes, starts, counts).view(np.int64)
+            pairs = codes + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            once = np.sort(np.unique(pairs, return_index=True)[1])
+            fps = simhashes(codes[once], np.searchsorted(once, starts))
+        begin, cut = 0, np.searchsorted(used, [0, *ends])
+        for end, low, high in zip(ends, cut.tolist(), cut[1:].tolist()):
+            out["at"].append((used[low:high] - begin).astype(np.int32))
+            out["line"].append(hashes[low:high])
+            out["fp"].append(fps[low:high])
+            begin = end
+        for kept in (words, sizes, ends):
+            kept.clear()
+
     for text in texts:
-        lines = [line.split() for line in text.split("\n")]
-        rows = _WORDS.rows([w for line in lines for w in line])
-        real = rows > 0
-        line_no = np.repeat(np.arange(len(lines)), [len(line) for line in lines])[real]
-        at, starts, lengths = np.unique(line_no, return_index=True, return_counts=True)
-        line = fp = np.empty(0, np.int64)
-        if len(at):
-            line, fp = _line_hashes(rows[real], starts, lengths)
-        out["at"].append(at.astype(np.int32))
-        out["line"].append(line.view(np.int64))
-        out["fp"].append(fp)
+        for line in text.split("\n"):
+            found = line.split()
+            sizes.append(len(found))
+            words += found
+        ends.append(len(sizes))
+        if len(words) >= BATCH_WORDS // 2:
+            flush()
+    flush()
     return out
 
 
@@ -266,14 +277,6 @@ def surplus_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _without(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with ``_dropped``, the numbers of its surplus lines."""
-    gone = surplus_lines(docs)
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc"]), "left").select(
-        docs["*"], F.coalesce("dropped", F.array().cast("array<int>")).alias("_dropped")
-    )
-
-
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the surplus lines cut out of ``text``; no row is dropped.
 
@@ -282,14 +285,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     one id (or without an id) count as copies of one document: a line number that is surplus
     goes from all of them. ``n_chars``, if there is such a column, follows the text.
     """
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_dropped", i))
-    text = F.when(F.size("_dropped") == 0, F.col("text")).otherwise(F.concat_ws("\n", kept))
-    columns = docs.columns
-    out = _without(docs).withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    rows = carried(docs, {"id": F.col("doc_id").cast("long")})
+    both = rows.join(surplus_lines(docs), F.col("id").eqNullSafe(F.col("doc")), "left")
+    text = F.col("row.text")
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("dropped", i))
+    new = both.select("row", F.when(F.col("dropped").isNull(), text).otherwise(F.concat_ws("\n", kept)).alias("new"))
+    columns = []
+    for field in docs.schema.fields:
+        value = F.col(f"row.`{field.name}`")
+        if field.name == "text":
+            value = F.col("new")
+        elif field.name == "n_chars":
+            value = F.length("new").cast(field.dataType)
+        columns.append(value.alias(field.name))
+    return new.select(*columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

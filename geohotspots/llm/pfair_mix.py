@@ -17,6 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geohotspots.llm.common import carried
 from geohotspots.session import store
 
 BLOCK_ROWS, CYCLE = 4, 200
@@ -151,47 +152,50 @@ def mix(
     columns = [c for c in docs.columns if c.lower() not in ("mix_slot", "mix_position")]
     docs = docs.select(*[F.col(f"`{c}`") for c in columns])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [
-        F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("_src"),
-        F.md5(F.col(key_col).cast("string")).alias("_mix"),
-        F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in columns]).alias("_tie"),
-    ]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], *order)
-    ranged = keyed.repartitionByRange(parts, "_src", "_mix", "_tie")
-    # Range bounds are sampled anew in each job: they are stored with the rows.
-    stored = store(ranged.withColumn("_part", F.spark_partition_id()))
-    counts = stored.groupBy("_src", "_part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("_src").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(
-        "_src", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift")
+
+    def hashable(field) -> Column:
+        column = F.col(f"`{field.name}`")
+        # Maps have no hash of their own.
+        return F.to_json(F.struct(column)) if "map<" in field.dataType.simpleString() else column
+
+    keyed = carried(
+        docs,
+        {
+            "src": F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)),
+            "mixed": F.md5(F.col(key_col).cast("string")),
+            "tie": F.xxhash64(F.lit(0), *map(hashable, docs.schema.fields)),
+        },
     )
-    sizes = counts.groupBy(F.col("_src").alias("src")).agg(F.sum("n").alias("n_rows"))
+    ranged = keyed.repartitionByRange(parts, "src", "mixed", "tie")
+    # Range bounds are sampled anew in each job: they are stored with the rows.
+    stored = store(ranged.withColumn("part", F.spark_partition_id()))
+    counts = stored.groupBy("src", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("src", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    sizes = counts.groupBy("src").agg(F.sum("n").alias("n_rows"))
     slots = slot_table(sizes, weights, block_rows, cycle)
-    inside = Window.partitionBy("_part", "_src").orderBy("_mix", "_tie")
-    numbered = (
-        stored.withColumn("_row", F.row_number().over(inside))
-        .join(F.broadcast(shifts), ["_src", "_part"])
-        .withColumn("_at", F.col("_row") - 1 + F.col("_shift"))
-        .withColumn("_block", F.floor(F.col("_at") / block_rows))
-    )
-    share = slots.select(F.col("src").alias("_src"), F.col("share").alias("_share")).distinct()
-    cycles = numbered.join(F.broadcast(share), "_src").withColumn(
-        "_cycle", F.floor(F.col("_block") / F.col("_share"))
+    share = slots.select("src", "share").distinct()
+    inside = Window.partitionBy("part", "src").orderBy("mixed", "tie")
+    cycles = (
+        stored.withColumn("row_no", F.row_number().over(inside))
+        .join(F.broadcast(shifts), ["src", "part"])
+        .join(F.broadcast(share), "src")
+        .withColumn("at", F.col("row_no") - 1 + F.col("shift"))
+        .withColumn("block", F.floor(F.col("at") / block_rows))
+        .withColumn("cycle", F.floor(F.col("block") / F.col("share")))
+        .withColumn("k", F.pmod("block", "share"))
     )
     # At most two spans for each source, of at most a cycle's slots (plus one for each source).
-    at = (
-        (cycles["_src"] == slots["src"])
-        & (F.pmod(cycles["_block"], cycles["_share"]) == slots["k"])
-        & (cycles["_cycle"] >= slots["from_cycle"])
-        & (cycles["_cycle"] < slots["to_cycle"])
-    )
-    slot = F.col("base") + (F.col("_cycle") - F.col("from_cycle")) * F.col("slots") + F.col("slot")
+    spans = slots.drop("share")
+    fits = (F.col("cycle") >= F.col("from_cycle")) & (F.col("cycle") < F.col("to_cycle"))
+    slot = F.col("base") + (F.col("cycle") - F.col("from_cycle")) * F.col("slots") + F.col("slot")
     return (
-        cycles.join(F.broadcast(slots.drop("share")), at)
+        cycles.join(F.broadcast(spans), ["src", "k"])
+        .filter(fits)
         .withColumn("mix_slot", slot.cast("long"))
         .withColumn(
             "mix_position",
-            (F.col("mix_slot") * block_rows + F.pmod(F.col("_at"), F.lit(block_rows))).cast("long"),
+            (F.col("mix_slot") * block_rows + F.pmod(F.col("at"), F.lit(block_rows))).cast("long"),
         )
-        .select(*[F.col(f"`{c}`") for c in columns], "mix_slot", "mix_position")
+        .select("row.*", "mix_slot", "mix_position")
     )

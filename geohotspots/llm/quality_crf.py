@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geohotspots.llm.common import bucket, struct_udf, with_columns
+from geohotspots.llm.common import bucket, carried, struct_udf, with_columns
 
 #: Labelled documents that the model is fitted on, the first in the order of a hash.
 TRAINING_DOCS = 2000
@@ -242,10 +242,7 @@ def score(docs: DataFrame, model: LineCrf) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that a model fitted on ``labels`` does not reject."""
-    columns = docs.columns
-    scored = struct_udf(lambda texts, m=train(docs, labels): {"score": m.score(texts)}, "score double")
-    return (
-        docs.withColumn("_score", scored(F.col("text"))["score"])
-        .filter(F.col("_score") >= THRESHOLD)
-        .select(*[F.col(f"`{c}`") for c in columns])
-    )
+    model = train(docs, labels)
+    scored = struct_udf(lambda texts: {"score": model.score(texts)}, "score double")
+    rows = carried(docs, {"score": scored(F.col("text"))["score"]})
+    return rows.filter(F.col("score") >= THRESHOLD).select("row.*")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geohotspots.llm.common import with_columns
+from geohotspots.llm.common import carried, with_columns
 
 _BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -69,24 +69,6 @@ def _count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def _repeat_words(words: Column, n_words: Column) -> Column:
-    """Words in three-word windows that occur at least twice in the text.
-
-    A window's hash keeps its high bits and gives its low ones to its place, so one sort of
-    plain numbers brings equal windows together with their places. Neighbours are compared
-    by the bits that are left, 64 less those that the text's length needs.
-    """
-    width = F.ceil(F.log2(n_words.cast("double") + 1)).cast("int")
-    low = F.expr("shiftleft(1L, _width)") - 1
-    hashed = F.transform(
-        F.sequence(F.lit(0), F.col("_n").cast("int") - 3),
-        lambda i: F.xxhash64(F.get(F.col("_words"), i), F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2))
-        .bitwiseAND(F.bitwise_not(F.col("_low")))
-        .bitwiseOR(i.cast("long")),
-    )
-    return width, low, F.when(F.col("_n") >= 3, F.sort_array(hashed))
-
-
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the measurements that rules refer to; same-named columns are replaced.
 
@@ -95,52 +77,56 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     one, ``n_repeat_words`` the words in three-word windows found at least twice.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    width, low, packed = _repeat_words(F.col("_words"), F.col("_n"))
-    full_lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.regexp_replace(x, _BREAK, "")) > 0)
-    frame = (
-        docs.withColumn("_words", F.filter(F.split(text, _BREAK, -1), lambda w: w != ""))
-        .withColumn("_n", F.size("_words").cast("long"))
-        .withColumn("_width", width)
-        .withColumn("_low", low)
-        .withColumn("_packed", packed)
+    split = F.filter(F.split(text, _BREAK, -1), lambda w: w != "")
+    full_lines = F.filter(
+        F.split(text, "\n", -1), lambda x: F.length(F.regexp_replace(x, _BREAK, "")) > 0
     )
-    # Places whose window equals the one before or after it in sorted order.
-    high = lambda x: x.bitwiseAND(F.bitwise_not(F.col("_low")))
-    repeated = F.filter(
-        F.col("_packed"),
-        lambda x, i: (high(x) == high(F.get(F.col("_packed"), i + 1)))
-        | (high(x) == high(F.get(F.col("_packed"), i - 1))),
+    frame = carried(docs, {"text": text, "words": split, "lines": full_lines}).withColumn(
+        "n", F.size("words").cast("long")
     )
-    frame = frame.withColumn(
-        "_places", F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(F.col("_low"))))
+    # A window's hash keeps its high bits and gives the low ones to its place, so one sort of
+    # plain numbers brings equal windows together with their places. The low bits are as
+    # many as the text's length needs.
+    frame = frame.withColumn("low", F.expr("shiftleft(1L, cast(ceil(log2(n + 1)) as int)) - 1"))
+    words, low, packed = F.col("words"), F.col("low"), F.col("packed")
+
+    def window(i: Column) -> Column:
+        code = F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+        return code.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))
+
+    places = F.sequence(F.lit(0), F.col("n").cast("int") - 3)
+    frame = frame.withColumn("packed", F.when(F.col("n") >= 3, F.sort_array(F.transform(places, window))))
+
+    def high(x: Column) -> Column:
+        return x.bitwiseAND(F.bitwise_not(low))
+
+    repeated = F.filter(
+        packed,
+        lambda x, i: (high(x) == high(F.get(packed, i + 1))) | (high(x) == high(F.get(packed, i - 1))),
     )
+    frame = frame.withColumn("places", F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(low))))
     covered = F.aggregate(
-        F.col("_places"),
+        F.col("places"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),
         lambda s, p: F.struct((s["n"] + F.least(p - s["last"], F.lit(3))).alias("n"), p.alias("last")),
         lambda s: s["n"],
     )
-    # A word equal to the one before it, without looking at any other.
-    same = F.size(
-        F.filter(
-            F.transform(F.col("_words"), lambda w, i: w == F.get(F.col("_words"), i - 1)), lambda x: x
-        )
-    )
-    out = with_columns(
-        frame.withColumn("_lines", full_lines),
-        {
-            "n_words": F.col("_n"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": _count_of(text, SYMBOLS).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-            "n_marks": _count_of(text, "!?").cast("long"),
-            "n_same_as_previous": F.greatest(same, F.lit(0)).cast("long"),
-            "n_stops": _count_of(text, ".,;:!?|").cast("long"),
-        },
-    )
-    return out.drop("_words", "_n", "_width", "_low", "_packed", "_places", "_lines")
+    same = F.filter(F.transform(words, lambda w, i: w == F.get(words, i - 1)), lambda x: x)
+    text = F.col("text")
+    measured = {
+        "n_words": F.col("n"),
+        "word_chars": F.length(F.array_join("words", "")),
+        "n_symbols": _count_of(text, SYMBOLS),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": F.coalesce(covered, F.lit(0)),
+        "n_marks": _count_of(text, "!?"),
+        "n_same_as_previous": F.size(same),
+        "n_stops": _count_of(text, ".,;:!?|"),
+    }
+    new = [c.cast("long").alias(n) for n, c in measured.items()]
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in measured]
+    return frame.select("row", F.struct(*new).alias("new")).select(*kept, "new.*")
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
