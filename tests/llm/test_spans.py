@@ -107,8 +107,8 @@ def test_cnn_gradient():
 
 @pytest.fixture(scope="module")
 def texts(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
-    return [r["text"] for r in rows]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text rlike '[0-9]'")
+    return [r["text"] for r in docs.orderBy("doc_id").select("text").collect()]
 
 
 def test_networks_find_spans_of_held_out_text(texts):
