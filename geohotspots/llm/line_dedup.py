@@ -12,46 +12,89 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from geohotspots.llm.common import BATCH_WORDS, CACHED_WORDS, carried, struct_udf
+from geohotspots.llm.common import carried, struct_udf
 from geohotspots.llm.pigeonhole import hamming_links
 from geohotspots.operators.components import connected_components
 from geohotspots.session import store
 
 RADIUS, BLOCKS, SIMILARITY = 3, 5, 0.8
 
-_OTHER, _DIGITS = re.compile(r"\W+"), re.compile(r"[0-9]+")
+_OTHER, _DIGITS = re.compile(r"[^a-z0-9\x80-\U0010ffff]+"), re.compile(r"[0-9]+")
+#: Characters hashed together; a longer text is a batch of its own.
+_BATCH_CHARS = 250_000
 #: Distinct words of one sum of 16-bit counters.
 _SUMMED = 60_000
 
 
-def normal_word(word: str) -> str:
-    """Lower case, letters and digits only (a space between their runs), digit runs as 0."""
-    if word.isalpha():
-        return word.lower()
-    return _DIGITS.sub("0", _OTHER.sub(" ", word.lower())).strip()
+def normal_line(line: str) -> str:
+    """Lower case, digit runs as 0, words of letters and digits with one space between.
 
+    Characters beyond ASCII count as letters.
+    """
+    return _DIGITS.sub("0", _OTHER.sub(" ", line.lower())).strip()
 
-def normal_line(line: str) -> str:
-    return " ".join(filter(None, map(normal_word, line.split())))
 
+def _byte_table() -> np.ndarray:
+    """0 for what parts words, 1 for a line feed, one value for all digits, else the byte."""
+    table = np.zeros(256, np.uint8)
+    table[128:] = np.arange(128, 256)
+    for c in b"abcdefghijklmnopqrstuvwxyz":
+        table[c] = c
+    table[list(b"0123456789")] = ord("0")
+    table[ord("\n")] = 1
+    return table
+
+
+_BYTES = _byte_table()
+_CODES = np.random.default_rng(23).integers(1, 1 << 62, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+class _Powers:
+    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 2 * _BATCH_CHARS)
+            inverse = pow(_BASE, -1, 1 << 64)
+            self.up, self.down = (
+                np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)].cumprod(dtype=np.uint64)
+                for base in (_BASE, inverse)
+            )
+        return self.up, self.down
 
-class _Codes(dict):
-    """Hash of each word's normal form; 0 for words without a letter or digit."""
 
-    def __missing__(self, word: str) -> int:
-        form = normal_word(word)
-        code = xxhash.xxh64_intdigest(form) or 1 if form else 0
-        if len(self) < CACHED_WORDS:
-            self[word] = code
-        return code
+_POWERS = _Powers()
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of ``text`` (see :func:`normal_line`) and the line of each."""
+    raw = _BYTES[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)]
+    digit = raw == ord("0")
+    if digit.any():
+        raw = raw[~(digit & np.r_[False, digit[:-1]])]
+    inside = raw > 1
+    change = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = change[::2], change[1::2]
+    up, down = _POWERS.upto(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_CODES[raw] * up[: len(raw)], out=sums[1:])
+    hashes = _mix((sums[ends] - sums[starts]) * down[starts])
+    return hashes, np.searchsorted(np.flatnonzero(raw == 1), starts)
 
 
-_CODES = _Codes()
 #: The bits of a byte as eight counters of 16 bits, in two numbers.
 _COUNTERS = (
     np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint16).view(np.uint64)
@@ -76,11 +119,9 @@ def simhashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _line_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Hashes of the sequences of words."""
     place = np.arange(len(codes)) - np.repeat(starts, lengths)
-    weight = (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    weight = (place + 1).astype(np.uint64) * np.uint64(_BASE)
     weight = (weight ^ (weight >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
-    mixed = np.add.reduceat(codes * weight, starts)
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return mixed ^ (mixed >> np.uint64(32))
+    return _mix(np.add.reduceat(codes * weight, starts))
 
 
 def line_prints(texts: list[str]) -> dict:
@@ -90,40 +131,36 @@ def line_prints(texts: list[str]) -> dict:
     every line repeats do not make unlike lines alike.
     """
     out: dict[str, list] = {"at": [], "line": [], "fp": []}
-    words: list[str] = []
-    sizes: list[int] = []
-    ends: list[int] = []
+    group: list[str] = []
 
     def flush() -> None:
-        codes = np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
-        number = np.repeat(np.arange(len(sizes)), sizes)
-        real = codes > 0
-        codes, number = codes[real], number[real]
+        # A line feed between texts; the lines of a text are numbered from its first one.
+        codes, number = word_hashes("\n".join(group))
+        ends = np.cumsum([text.count("\n") + 1 for text in group])
         used, starts, counts = np.unique(number, return_index=True, return_counts=True)
         hashes = fps = np.empty(0, np.int64)
         if len(codes):
             hashes = _line_hashes(codes, starts, counts).view(np.int64)
-            pairs = codes + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            pairs = codes + number.astype(np.uint64) * np.uint64(_BASE)
             once = np.sort(np.unique(pairs, return_index=True)[1])
             fps = simhashes(codes[once], np.searchsorted(once, starts))
         begin, cut = 0, np.searchsorted(used, [0, *ends])
-        for end, low, high in zip(ends, cut.tolist(), cut[1:].tolist()):
+        for end, low, high in zip(ends.tolist(), cut.tolist(), cut[1:].tolist()):
             out["at"].append((used[low:high] - begin).astype(np.int32))
             out["line"].append(hashes[low:high])
             out["fp"].append(fps[low:high])
             begin = end
-        for kept in (words, sizes, ends):
-            kept.clear()
+        group.clear()
 
+    size = 0
     for text in texts:
-        for line in text.split("\n"):
-            found = line.split()
-            sizes.append(len(found))
-            words += found
-        ends.append(len(sizes))
-        if len(words) >= BATCH_WORDS // 2:
+        group.append(text)
+        size += len(text)
+        if size >= _BATCH_CHARS:
             flush()
-    flush()
+            size = 0
+    if group:
+        flush()
     return out
 
 
@@ -235,27 +272,29 @@ def group_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return store(both.select("u", "v", _verified("a", "b").alias("same")))
 
     tested = checked(pairs)
-    roots = connected_components(tested.filter("same").select("u", "v"))
-    if not tested.filter("not same").isEmpty():
-        # The candidate links span their groups; where one of them fails, other pairs of
-        # the group may still hold. All pairs across the parts of such groups are tested.
-        loose = connected_components(pairs)
-        torn = (
-            tested.filter("not same")
-            .join(loose, F.col("u") == F.col("node"))
-            .select("root")
-            .distinct()
-        )
-        members = loose.join(torn, "root", "left_semi").select("node").join(
-            nodes.select(F.col("line").alias("node"), "fp"), "node"
-        )
-        parts = members.join(roots, "node", "left").select(
-            "node", "fp", F.coalesce("root", "node").alias("part")
-        )
-        more = checked(hamming_links(parts, RADIUS, BLOCKS, label="part"))
-        roots = connected_components(
-            tested.filter("same").select("u", "v").union(more.filter("same").select("u", "v"))
-        )
+    roots = store(connected_components(tested.filter("same").select("u", "v")))
+    rejected = tested.filter("not same")
+    if not rejected.isEmpty():
+        # The candidates span their groups. Where one of them fails, its ends lie in
+        # different parts, and other pairs between such parts may still hold: all are tested.
+        def part_of(end: str) -> DataFrame:
+            known = rejected.select(F.col(end).alias("node")).join(roots, "node", "left")
+            return known.select(F.coalesce("root", "node").alias("part"))
+
+        torn = part_of("u").union(part_of("v")).distinct()
+        alone = torn.select(F.col("part").alias("node"), "part")
+        members = roots.join(torn, F.col("root") == F.col("part")).select("node", "part").union(alone).distinct()
+        parts = store(members.join(nodes.select(F.col("line").alias("node"), "fp"), "node"))
+        more = checked(hamming_links(parts, RADIUS, BLOCKS, label="part")).filter("same")
+        if not more.isEmpty():
+            part = parts.select("node", "part")
+            bridges = more.join(part.toDF("u", "pu"), "u").join(part.toDF("v", "pv"), "v")
+            joined = connected_components(bridges.select(F.col("pu").alias("u"), F.col("pv").alias("v")))
+            joined = joined.toDF("part", "whole")
+            everyone = roots.union(joined.select("part", "part").toDF("node", "root")).distinct()
+            roots = everyone.join(joined, F.col("root") == F.col("part"), "left").select(
+                "node", F.coalesce("whole", "root").alias("root")
+            )
     return lines, roots.select(F.col("node").alias("line"), "root")
 
 

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-import xxhash
 
 from geohotspots.llm import line_dedup as q
 from geohotspots.llm.pigeonhole import spanning_links
@@ -19,8 +18,7 @@ def lev(a, b):
 
 
 def brute_simhash(line):
-    words = [w for w in map(q.normal_word, line.split()) if w]
-    codes = [xxhash.xxh64_intdigest(w) for w in set(words)]
+    codes = {int(q.word_hashes(w)[0][0]) for w in q.normal_line(line).split(" ")}
     return sum(1 << b for b in range(64) if 2 * sum(c >> b & 1 for c in codes) > len(codes))
 
 
@@ -71,6 +69,17 @@ def test_simhash_of_long_and_short_lines():
     assert [int(x) for x in got["fp"][0].view(np.uint64)] == [brute_simhash(x) for x in text.split("\n")[:2]]
 
 
+def test_word_hashes_follow_normal_lines():
+    text = "Ab 12x3 c-D \n\n ÉÜ 漢字 aB; ab 45x6\n--\n" + "w" * 300_000 + "\nEnd"
+    hashes, lines = q.word_hashes(text)
+    words = [(no, w) for no, line in enumerate(text.split("\n")) for w in q.normal_line(line).split(" ") if w]
+    assert lines.tolist() == [no for no, _ in words]
+    seen = {}
+    for h, (_, w) in zip(hashes.tolist(), words):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) == len({w for _, w in words})
+
+
 def test_spanning_links_connect_like_all_pairs():
     rng = np.random.default_rng(1)
     fps = []
