@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.sql import fixed, query
-from checks.tables import clean_rows, raw_rows
+from checks.tables import clean_rows, events_table, raw_rows
 from geohotspots.config import TimeWindow
 from geohotspots.functions import text
-from geohotspots.functions.timestamps import wall_clock
+from geohotspots.functions.timestamps import parse_instant, wall_clock
 from geohotspots.operators import (
     activity,
     clean,
@@ -31,6 +31,7 @@ from geohotspots.operators import (
     spatial,
 )
 from geohotspots.plans import forecasting
+from geohotspots.plans import zones as zones_plan
 from geohotspots.session import cut_lineage, shared_dir
 from geohotspots.sources import readers, writers
 
@@ -228,7 +229,54 @@ SELECT id, latitude, longitude, nullif(created_datetime, 'NULL') AS created_date
  violation_type, offence_code, nullif(vehicle_type, '') AS vehicle_type,
  nullif(police_station, 'NULL') AS police_station, junction_name, vehicle_number FROM raw""")
 def _(t):
-    return readers.scan_csv(t.spark, _raw_csv(t)).drop("read_order")
+    return readers.scan_csv(t.spark, _raw_csv(t)).drop("read_order", clean.MALFORMED_FLAG)
+
+
+@register("scan_csv_layouts", "", """
+SELECT CAST(count(*) * 3 AS BIGINT) AS total_rows_read, CAST(count(*) AS BIGINT) AS malformed_row FROM events""")
+def _(t):
+    # One row as it should be, one with a field too many, one with a field too few, per event.
+    events = events_table(t.spark, t.sf_dir)
+    fields = F.concat_ws(",", F.col("event_id").cast("string"), F.lit("12.95"), F.lit("77.6"))
+    time = F.lit("2024-01-15 09:00:00")
+    body = events.select(
+        F.explode(
+            F.array(
+                F.concat(fields, F.lit(","), time, F.lit(",x")),
+                F.concat(fields, F.lit("b,"), time, F.lit(",x,extra")),
+                F.concat(fields, F.lit(","), time),
+            )
+        ).alias("value")
+    )
+    path = _scratch(t, "layouts.csv")
+    header = t.spark.createDataFrame([("id,latitude,longitude,created_datetime,note",)], "value string")
+    rows = header.withColumn("part", F.lit(0)).unionByName(body.withColumn("part", F.lit(1)))
+    rows.coalesce(1).sortWithinPartitions("part").select("value").write.text(path)
+    report = clean.ingestion_report(readers.scan_csv(t.spark, path))
+    picked = [F.max(F.when(F.col("metric") == m, F.col("n"))).alias(m) for m in ("total_rows_read", "malformed_row")]
+    return report.agg(*picked)
+
+
+LAYOUTS = (
+    "yyyy/MM/dd HH:mm:ss", "dd-MM-yyyy HH:mm", "MMM d yyyy HH:mm", "yyyyMMdd HHmmss",
+    "yyyy-MM-dd HH:mm:ss 'UTC'", "dd/MM/yyyy HH:mm:ss",
+)
+
+
+@register("parse_timestamp_layouts", "", """
+SELECT event_id, strftime(CASE event_id % 6 WHEN 4 THEN date_trunc('second', ts) + INTERVAL 330 MINUTE
+ WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END,
+ '%Y-%m-%d %H:%M:%S') AS local_time FROM events""")
+def _(t):
+    text = F.coalesce(
+        *[
+            F.when(F.pmod("event_id", F.lit(len(LAYOUTS))) == i, F.date_format("ts", layout))
+            for i, layout in enumerate(LAYOUTS)
+        ]
+    )
+    texts = events_table(t.spark, t.sf_dir).select("event_id", text.alias("text"))
+    local = wall_clock(parse_instant(F.col("text")))
+    return texts.select("event_id", F.date_format(local, "yyyy-MM-dd HH:mm:ss").alias("local_time"))
 
 
 @register("sink_priority_csv", "zt_cell", f"SELECT {ZONE_SQL}, risk_tier FROM zt_cell")
@@ -283,6 +331,22 @@ def _(t):
     return rounded(readers.flatten_peak_windows(t.spark, path), "expected_intensity")
 
 
+@register("export_all", "zones_cell scored_cell top_cell", """
+SELECT z.hotspot_id, z.global_rank, s.member_count, count(w.hotspot_id) AS n_windows
+FROM zones_cell z JOIN scored_cell s USING (hotspot_id) LEFT JOIN top_cell w USING (hotspot_id)
+GROUP BY z.hotspot_id, z.global_rank, s.member_count""")
+def _(t):
+    done = zones_plan.ZoneTables(t.cells, t.activity, t.scored, t.profiles, t.windows, t.zones, False)
+    report = clean.ingestion_report(t.raw)
+    paths = zones_plan.export_all(done, report, _scratch(t, "all"), single_file=True)
+    ranks = readers.read_zones(t.spark, paths["csv"], with_risk=False).select("hotspot_id", "global_rank")
+    members = readers.flatten_geojson(t.spark, paths["geojson"]).select("hotspot_id", "member_count")
+    windows = readers.flatten_peak_windows(t.spark, paths["peak_windows"], multi_line=True)
+    counts = windows.groupBy("hotspot_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    joined = ranks.join(members, "hotspot_id").join(counts, "hotspot_id", "left")
+    return joined.fillna({"n_windows": 0})
+
+
 @register("drop_private", "clean", "SELECT latitude, longitude, police_station FROM clean")
 def _(t):
     return writers.drop_private(
@@ -844,12 +908,39 @@ def _(t):
 @register("grid_sweep")
 def _(t):
     train, test = (cut_lineage(part) for part in t.split)
-    _, tried = evaluate.grid_sweep(train, test)
+    tried = evaluate.grid_sweep(train, test).tried
     return t.spark.createDataFrame(
         [(p["regParam"], mae) for p, mae in tried], "reg_param double, mae double"
     )
 
 
+SWEPT = ("lag_7", "roll_7_mean", "roll_14_mean", "expanding_mean")
+SWEPT_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS predictor, avg(abs(count - {c})) AS e FROM test" for c in SWEPT
+)
+
+
+@register("sweep_errors", "test", f"""
+SELECT predictor, {fixed('e', 'mae')}, e = min(e) OVER () AS best FROM ({SWEPT_SQL}) x""")
+def _(t):
+    predictors = [
+        lambda rows, c=c: rows.withColumn("prediction", F.col(c).cast("double")) for c in SWEPT
+    ]
+    errors = evaluate.sweep_errors(t.naive_test.drop("prediction"), predictors)
+    rows = [(c, e, e == min(errors)) for c, e in zip(SWEPT, errors)]
+    return rounded(t.spark.createDataFrame(rows, "predictor string, mae double, best boolean"), "mae")
+
+
+@register("fit_demand_totals", "train", """
+SELECT dow, CAST(sum(count) AS DOUBLE) AS total FROM train GROUP BY dow""")
+def _(t):
+    # Without a ridge the Poisson model gives back the training sums of each day of the week.
+    train = t.split[0]
+    fitted = forecast.fit_demand(train, "glm", {"regParam": 0.0, "maxIter": 200, "tol": 1e-9})
+    sums = forecast.predict_counts(train, fitted).groupBy("dow").agg(F.sum("prediction").alias("s"))
+    return sums.select("dow", F.round("s", 2).alias("total"))
+
+
 @register("evaluate_forecaster")
 def _(t):
     done = forecasting.evaluate_forecaster(
@@ -866,6 +957,16 @@ def _(t):
     return rounded(metrics, "mae", "rmse", "r2")
 
 
+@register("regression_metrics_deviance", "test", f"""
+SELECT {fixed('avg(abs(count - p))', 'mae')},
+ {fixed('2 * avg(CASE WHEN count > 0 THEN count * ln(count / p) ELSE 0 END - count + p)', 'poisson_deviance')}
+FROM (SELECT count, roll_7_mean + 1 AS p FROM test) x""")
+def _(t):
+    positive = t.naive_test.withColumn("prediction", F.col("roll_7_mean") + 1)
+    metrics = evaluate.regression_metrics(positive).select("mae", "poisson_deviance")
+    return rounded(metrics, "mae", "poisson_deviance")
+
+
 @register("naive_baseline", "test", f"""
 SELECT {fixed('b', 'baseline_mae')}, {fixed('m', 'mae')}, {fixed('(b - m) / b * 100', 'improvement_pct')}
 FROM (SELECT avg(abs(count - lag_7)) AS b, avg(abs(count - roll_7_mean)) AS m FROM test) x""")
@@ -925,6 +1026,22 @@ def _(t):
     return forecast.DemandForecaster.load(t.spark, path).predict_next_days(3)
 
 
+def _reloaded(t: Tables) -> forecast.DemandForecaster:
+    fitted = forecast.DemandForecaster(min_cell_total=MIN_CELL_TOTAL).fit(t.cells8)
+    return forecast.DemandForecaster.load(t.spark, fitted.save(_scratch(t, "forecaster")))
+
+
+@register("saved_cells", "celldim", f"""
+SELECT h3_cell, cell_code, police_station, {fixed('centroid_lat', 'centroid_lat')}, {fixed('centroid_lon', 'centroid_lon')} FROM celldim""")
+def _(t):
+    return rounded(_reloaded(t).cells, "centroid_lat", "centroid_lon")
+
+
+@register("saved_history", "filled", f"SELECT h3_cell, {DATE}, count FROM filled WHERE date > (SELECT max(date) FROM filled) - 21")
+def _(t):
+    return dated(_reloaded(t).history)
+
+
 # --- serving ---------------------------------------------------------------------------------
 
 AT = TimeWindow(day_of_week=5, hour=10)
@@ -992,6 +1109,14 @@ def _(t):
     return rounded(serving.high_risk_top(t.zones_tiers), "priority_score")
 
 
+@register("anomaly_top_given", "zt_cell", f"""
+SELECT hotspot_id, police_station, CAST(global_rank % 97 AS DOUBLE) AS anomaly_score, risk_tier, {fixed('priority_score', 'priority_score')}
+FROM zt_cell ORDER BY global_rank % 97 DESC, hotspot_id LIMIT 12""")
+def _(t):
+    given = t.zones_tiers.withColumn("anomaly_score", (F.col("global_rank") % 97).cast("double"))
+    return rounded(serving.anomaly_top(given), "priority_score")
+
+
 @register("anomaly_top")
 def _(t):
     scores = risk.anomaly_scores(risk.standardise(risk.risk_features(t.scored)))
@@ -1117,6 +1242,15 @@ def _(t):
     return rounded(reports.run_summary(t.scored, t.zones), *names)
 
 
+@register("run_summary_report", "tagged ranked zones_cell", """
+SELECT (SELECT count(*) FROM tagged) AS rows_read, (SELECT count(*) FROM ranked WHERE rn = 1) AS rows_retained,
+ (SELECT count(*) FROM tagged) - (SELECT count(*) FROM ranked WHERE rn = 1) AS rows_dropped,
+ count(*) AS zones, 'cells' AS method FROM zones_cell""")
+def _(t):
+    summary = reports.run_summary(t.scored, t.zones, clean.ingestion_report(t.raw), False)
+    return summary.select("rows_read", "rows_retained", "rows_dropped", "zones", "method")
+
+
 @register("top5_with_peak", "zones_cell top_cell", f"""
 SELECT global_rank, coalesce(nullif(police_station, ''), '?') AS station, {fixed('priority_score', 'priority_score')},
  coalesce(['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][day_of_week + 1] || format(' {{:02d}}-{{:02d}}h', start_hour, end_hour), 'n/a') AS peak

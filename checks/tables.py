@@ -85,10 +85,8 @@ DUCK_CLEAN = _CLEAN_SQL.format(**_DUCK)
 
 
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given table; a file too small to split is spread over the cores."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return events if events.rdd.getNumPartitions() >= cores else events.repartition(cores)
+    """The given table."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

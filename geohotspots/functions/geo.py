@@ -145,3 +145,21 @@ class SubcellGrid:
 
     def row(self, lat: Column, level: int = 0) -> Column:
         return F.floor((lat - F.lit(self.lat0)) / F.lit(self.step_lat) * F.lit(2.0**level))
+
+
+#: Units of a degree in coordinate sums, about a millimetre each.
+FIXED_UNITS = 10**8
+
+
+def fixed_sum(coordinate: str) -> Column:
+    """Sum of a coordinate in whole units, so it does not depend on the order of the rows.
+
+    One group may have up to 5e8 rows; further sums of such sums are decimals.
+    """
+    return F.sum(F.round(F.col(coordinate) * FIXED_UNITS).cast("bigint"))
+
+
+def fixed_mean(total: str, count: str = "n") -> Column:
+    """Mean coordinate from partial sums of :func:`fixed_sum` and their counts."""
+    whole = F.sum(F.col(total).cast("decimal(28,0)")).cast("double")
+    return whole / F.sum(count) / FIXED_UNITS

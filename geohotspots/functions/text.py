@@ -56,6 +56,9 @@ def json_elements(c: Column) -> Column:
     follow a value in one place is an error in the other.
     """
     text = trim_ws(c)
+    # Bare NaN and Infinity are no JSON; they stand for elements without a value.
+    bare = F.regexp_replace(text, r"(?<=[\[,\s])-?(NaN|Infinity)(?=\s*[,\]])", "null")
+    text = F.when(text.startswith("[") & F.try_parse_json(text).isNull(), bare).otherwise(text)
     plain = F.instr(text, "]") == F.length(text)
     one_value = (
         F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()

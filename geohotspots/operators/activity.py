@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geohotspots.functions.geo import fixed_sum
 from geohotspots.functions.text import trim_ws
 from geohotspots.operators.spatial import in_hotspot
 
@@ -88,8 +89,8 @@ def hotspot_activity(assigned: DataFrame) -> DataFrame:
         "hotspot_id", "cluster_label", "h3_cell", "police_station", "local_date", "hour"
     ).agg(
         F.count("hotspot_id").alias("n"),
-        F.sum("latitude").alias("sum_lat"),
-        F.sum("longitude").alias("sum_lon"),
+        fixed_sum("latitude").alias("sum_lat"),
+        fixed_sum("longitude").alias("sum_lon"),
         F.max("severity").alias("severity"),
         F.sum("near").alias("near"),
         F.max("created_at").alias("last_at"),

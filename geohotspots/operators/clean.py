@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,15 +19,20 @@ from geohotspots.functions.text import (
     violation_tokens,
 )
 from geohotspots.functions.timestamps import (
+    TIMESTAMP_FORMATS,
     instant_of_wall_clock,
     parse_trimmed_instant,
     wall_clock,
 )
 
+MALFORMED = "malformed_row"
 UNPARSEABLE = "unparseable_created_at"
 INVALID_GEO = "invalid_geo"
 DUPLICATE = "duplicate_id"
 
+#: Column in which a reader marks rows that do not fit their header.
+MALFORMED_FLAG = "_malformed"
+
 _RENAMES = {"created_datetime": "created_at", "closed_datetime": "closed_at"}
 
 
@@ -55,10 +62,12 @@ def inside(lat: Column, lon: Column, bbox: BoundingBox) -> Column:
     )
 
 
-def parse_timestamps(df: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
+def parse_timestamps(
+    df: DataFrame, tz: str = LOCAL_TZ, formats: Sequence[str] = TIMESTAMP_FORMATS
+) -> DataFrame:
     """Type the ``*_datetime`` columns, rename them, add ``created_local``.
 
-    Columns that are timestamps already are taken as they are; those without zone are
+    ``formats`` are tried in order on texts in no ISO form. Columns that are timestamps already are taken as they are; those without zone are
     wall-clock time in ``tz``.
     """
     present = [c for c in _RENAMES if c in df.columns]
@@ -68,7 +77,7 @@ def parse_timestamps(df: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
     # Trimmed in a step of its own: the parser refers to the text several times.
     df = df.withColumns({c: null_if_token(F.col(c)) for c in texts})
     df = df.withColumns(
-        {c: parse_trimmed_instant(F.col(c), tz) for c in texts}
+        {c: parse_trimmed_instant(F.col(c), tz, formats) for c in texts}
         | {c: instant_of_wall_clock(F.col(c), tz) for c in walls}
     )
     df = df.withColumnsRenamed({c: _RENAMES[c] for c in present})
@@ -107,18 +116,23 @@ def require_created_at(df: DataFrame) -> DataFrame:
 
 
 def tag_rejects(
-    raw: DataFrame, *, tz: str = LOCAL_TZ, bbox: BoundingBox = BoundingBox()
+    raw: DataFrame,
+    *,
+    tz: str = LOCAL_TZ,
+    bbox: BoundingBox = BoundingBox(),
+    formats: Sequence[str] = TIMESTAMP_FORMATS,
 ) -> DataFrame:
     """Add ``reject_reason``: the first failing check of a row, or null."""
     require_columns(raw)
-    df = parse_timestamps(raw, tz)
+    df = parse_timestamps(raw, tz, formats)
+    broken = F.col(MALFORMED_FLAG) if MALFORMED_FLAG in df.columns else F.lit(False)
     df = df.withColumns({c: number(F.col(c)) for c in ("latitude", "longitude")})
     return df.withColumn(
         "reject_reason",
-        F.when(F.col("created_at").isNull(), UNPARSEABLE).when(
-            ~inside(F.col("latitude"), F.col("longitude"), bbox), INVALID_GEO
-        ),
-    )
+        F.when(broken, MALFORMED)
+        .when(F.col("created_at").isNull(), UNPARSEABLE)
+        .when(~inside(F.col("latitude"), F.col("longitude"), bbox), INVALID_GEO),
+    ).drop(MALFORMED_FLAG)
 
 
 def dedupe_first(
@@ -141,9 +155,15 @@ def clean_events(
     order_by: str | list[str] = "read_order",
     tz: str = LOCAL_TZ,
     bbox: BoundingBox = BoundingBox(),
+    formats: Sequence[str] = TIMESTAMP_FORMATS,
 ) -> DataFrame:
     """Raw text rows to typed, valid, de-duplicated events."""
-    valid = tag_rejects(raw, tz=tz, bbox=bbox).filter(F.col("reject_reason").isNull())
+    return accept(tag_rejects(raw, tz=tz, bbox=bbox, formats=formats), order_by=order_by)
+
+
+def accept(tagged: DataFrame, *, order_by: str | list[str] = "read_order") -> DataFrame:
+    """Tagged rows (see :func:`tag_rejects`) to valid, de-duplicated events."""
+    valid = tagged.filter(F.col("reject_reason").isNull())
     unique = dedupe_first(valid.drop("reject_reason"), order_by=order_by)
     return normalise_categoricals(parse_arrays(unique))
 
@@ -154,15 +174,19 @@ def ingestion_report(
     cleaned: DataFrame | None = None,
     tz: str = LOCAL_TZ,
     bbox: BoundingBox = BoundingBox(),
+    formats: Sequence[str] = TIMESTAMP_FORMATS,
 ) -> DataFrame:
     """Rows ``(metric, n)``: rows read, rows retained, total dropped, drops by reason.
 
     ``invalid_geo`` is always present, the other reasons only when they occur. Duplicates
     are the valid rows beyond the retained ones. With the ``cleaned`` events at hand,
     their number says how many were retained and nothing is shuffled by id; otherwise
-    valid rows are counted per id.
+    valid rows are counted per id. Rows that have been tagged already, with a
+    ``reject_reason``, are not parsed again.
     """
-    tagged = tag_rejects(raw, tz=tz, bbox=bbox)
+    tagged = raw
+    if "reject_reason" not in raw.columns:
+        tagged = tag_rejects(raw, tz=tz, bbox=bbox, formats=formats)
     valid = F.col("reject_reason").isNull()
     keys = ["reject_reason"]
     if cleaned is None:
@@ -179,6 +203,7 @@ def ingestion_report(
     totals = counts.agg(
         total(F.lit(True), F.col("n")).alias("total_rows_read"),
         total(valid, F.col("n")).alias("valid"),
+        total(F.col("reject_reason") == MALFORMED, F.col("n")).alias(MALFORMED),
         total(F.col("reject_reason") == UNPARSEABLE, F.col("n")).alias(UNPARSEABLE),
         total(F.col("reject_reason") == INVALID_GEO, F.col("n")).alias(INVALID_GEO),
         retained.alias("rows_retained"),
@@ -190,10 +215,10 @@ def ingestion_report(
     )
     metrics = (
         "total_rows_read", "rows_retained", "total_dropped",
-        UNPARSEABLE, INVALID_GEO, DUPLICATE,
+        MALFORMED, UNPARSEABLE, INVALID_GEO, DUPLICATE,
     )
     rows = F.inline(
         F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("n")) for m in metrics])
     )
-    optional = F.col("metric").isin(UNPARSEABLE, DUPLICATE)
+    optional = F.col("metric").isin(MALFORMED, UNPARSEABLE, DUPLICATE)
     return totals.select(rows).filter(~optional | (F.col("n") > 0))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geohotspots.config import SEED, require_int
+from geohotspots.functions.geo import fixed_mean, fixed_sum
 from geohotspots.operators.panel import (
     FEATURES,
     MIN_CELL_TOTAL,
@@ -76,6 +78,16 @@ def fit_demand(train: DataFrame, kind: str = "glm", params: dict | None = None)
     return demand_pipeline(kind, params).fit(train)
 
 
+def fit_settings(train: DataFrame, kind: str, grid: Sequence[dict]) -> list[PipelineModel]:
+    """One model for each setting; the features are assembled once and stored."""
+    stages = [demand_pipeline(kind, params).getStages() for params in grid]
+    features = Pipeline(stages=stages[0][:-1]).fit(train)
+    assembled = cut_lineage(features.transform(train).select("features", "count"))
+    return [
+        PipelineModel(stages=[*features.stages, own[-1].fit(assembled)]) for own in stages
+    ]
+
+
 def predict_counts(rows: DataFrame, model: PipelineModel | None = None) -> DataFrame:
     """Add ``prediction`` >= 0; without a model it is the naive ``lag_7``."""
     if model is None:
@@ -87,17 +99,20 @@ def predict_counts(rows: DataFrame, model: PipelineModel | None = None) -> DataF
 
 
 def feature_importance(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """``(feature, importance)``: tree importance, or absolute GLM coefficient.
+    """``(feature, importance)``: tree importance, or absolute GLM coefficient times the
+    standard deviation of the feature, so that features of any scale compare.
 
-    ``features`` is any panel the model can transform; names come from its metadata.
+    ``features`` is the panel whose deviations count; names come from its metadata.
     """
     last = model.stages[-1]
-    meta = model.transform(features).schema["features"].metadata["ml_attr"]["attrs"]
+    assembled = model.transform(features)
+    meta = assembled.schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in meta.values() for a in group}
     if hasattr(last, "featureImportances"):
         values = last.featureImportances.toArray()
     else:
-        values = abs(last.coefficients.toArray())
+        spread = assembled.select(Summarizer.std(F.col("features"))).first()[0]
+        values = abs(last.coefficients.toArray() * spread.toArray())
     rows = [(names[i], float(v)) for i, v in enumerate(values)]
     return features.sparkSession.createDataFrame(rows, "feature string, importance double")
 
@@ -107,13 +122,13 @@ def cell_dim(celled: DataFrame, codes: DataFrame) -> DataFrame:
     sums = cut_lineage(
         celled.groupBy("h3_cell", "police_station").agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum("latitude").alias("lat"),
-            F.sum("longitude").alias("lon"),
+            fixed_sum("latitude").alias("lat"),
+            fixed_sum("longitude").alias("lon"),
         )
     )
     centres = sums.groupBy("h3_cell").agg(
-        (F.sum("lat") / F.sum("n")).alias("centroid_lat"),
-        (F.sum("lon") / F.sum("n")).alias("centroid_lon"),
+        fixed_mean("lat").alias("centroid_lat"),
+        fixed_mean("lon").alias("centroid_lon"),
     )
     modal = modal_value(sums, ["h3_cell"], "police_station", weight=F.col("n"), skip=None)
     return codes.join(centres, "h3_cell").join(modal, "h3_cell", "left")

@@ -66,8 +66,17 @@ def impact_geo(scored: DataFrame) -> DataFrame:
     )
 
 
-def run_summary(scored: DataFrame, zones: DataFrame) -> DataFrame:
-    """One row of headline numbers of a run."""
+def run_summary(
+    scored: DataFrame,
+    zones: DataFrame,
+    report: DataFrame | None = None,
+    used_dbscan: bool | None = None,
+) -> DataFrame:
+    """One row of headline numbers of a run.
+
+    With the ingestion ``report`` also ``rows_read``, ``rows_retained``, ``rows_dropped``;
+    with ``used_dbscan`` also the ``method``.
+    """
     hotspots = scored.agg(
         F.struct(
             F.count(F.lit(1)).alias("hotspots"),
@@ -83,13 +92,15 @@ def run_summary(scored: DataFrame, zones: DataFrame) -> DataFrame:
         F.count_distinct(_station_or("(unknown)")).alias("stations"),
     )
     parts = ("hotspots", "impact_mean", "impact_max", "largest_hotspot")
-    return row.withColumn("_h", hotspots).select(
-        *[F.col(f"_h.{p}").alias(p) for p in parts],
-        "zones",
-        "priority_mean",
-        "priority_max",
-        "stations",
-    )
+    columns = [F.col(f"_h.{p}").alias(p) for p in parts]
+    columns += map(F.col, ("zones", "priority_mean", "priority_max", "stations"))
+    if report is not None:
+        names = {"rows_read": "total_rows_read", "rows_retained": "rows_retained", "rows_dropped": "total_dropped"}
+        for name, metric in names.items():
+            columns.append(report.filter(F.col("metric") == metric).select("n").scalar().alias(name))
+    if used_dbscan is not None:
+        columns.append(F.lit("dbscan" if used_dbscan else "cells").alias("method"))
+    return row.withColumn("_h", hotspots).select(*columns)
 
 
 def top_zones_with_peak(zones: DataFrame, windows: DataFrame, n: int = 5) -> DataFrame:

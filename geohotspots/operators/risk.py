@@ -34,8 +34,8 @@ _TREE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, path double"
 )
 _HASH_RANGE = 2**31
-# Clustering passes over the rows many times: few rows should not mean many tasks.
-ROWS_PER_PARTITION = 50_000
+# Where a row is placed decides the seeded starts, so the number of partitions is fixed.
+PARTITIONS = 8
 
 
 def risk_features(scored: DataFrame) -> DataFrame:
@@ -193,11 +193,11 @@ def risk_tiers(
 ) -> DataFrame:
     """K-Means tiers named by mean impact; quantile tiers when three are not to be had.
 
-    Rows are range-placed and sorted by id first, so that the seeded starts repeat.
+    Rows are placed by a hash of their id in a fixed number of partitions and sorted
+    there, so the seeded starts repeat whatever the number and placement of the rows.
     """
-    parts = math.ceil(max(standardised.count(), 1) / ROWS_PER_PARTITION)
     vectors = cut_lineage(
-        standardised.repartitionByRange(parts, "hotspot_id")
+        standardised.repartition(PARTITIONS, "hotspot_id")
         .sortWithinPartitions("hotspot_id")
         .select("hotspot_id", array_to_vector(F.array(*FEATURES)).alias("features"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geohotspots.config import CELL_PREFIX, CLUSTER_PREFIX, NOISE_LABEL, BoundingBox
-from geohotspots.functions.geo import with_hex_cell
+from geohotspots.functions.geo import fixed_mean, fixed_sum, with_hex_cell
 from geohotspots.functions.text import MODE_NULL_TOKENS, is_null_like
 from geohotspots.operators.dbscan import find_clusters, label_events
 from geohotspots.session import cut_lineage
@@ -114,17 +114,20 @@ def _groups(assigned: DataFrame) -> DataFrame:
     present = [k for k in keys if k in assigned.columns]
     sums = assigned.filter(in_hotspot(assigned)).groupBy(*present).agg(
         F.count("hotspot_id").alias("n"),
-        F.sum("latitude").alias("sum_lat"),
-        F.sum("longitude").alias("sum_lon"),
+        fixed_sum("latitude").alias("sum_lat"),
+        fixed_sum("longitude").alias("sum_lon"),
     )
     return cut_lineage(sums.filter(F.col("n") > 0))
 
 
 def summarise(groups: DataFrame, bbox: BoundingBox = BoundingBox()) -> DataFrame:
-    """Hotspot records from partial sums ``(hotspot_id, ..., n, sum_lat, sum_lon)``."""
+    """Hotspot records from partial sums ``(hotspot_id, ..., n, sum_lat, sum_lon)``.
+
+    The coordinate sums are those of :func:`fixed_sum`.
+    """
 
     def mean(total: str, low: float, high: float) -> Column:
-        value = F.sum(total) / F.sum("n")
+        value = fixed_mean(total)
         return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
     hotspots = groups.groupBy("hotspot_id", "cluster_label").agg(

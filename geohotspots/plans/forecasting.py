@@ -14,7 +14,6 @@ from geohotspots.operators.forecast import (
     GLM_GRID,
     DemandForecaster,
     feature_importance,
-    fit_demand,
     predict_counts,
 )
 from geohotspots.operators.panel import (
@@ -62,8 +61,7 @@ def evaluate_forecaster(
     rows = evaluation_panel(celled, min_cell_total)
     train, test = (cut_lineage(part) for part in time_split(rows, test_days))
     grid = grid or (GBT_GRID if kind == "gbt" else GLM_GRID)
-    best, tried = evaluate.grid_sweep(train, test, kind, grid)
-    model = fit_demand(train, kind, best)
+    best, model, tried = evaluate.grid_sweep(train, test, kind, grid)
     scored = cut_lineage(
         evaluate.hotspot_day_label(predict_counts(test, model), train)
     )

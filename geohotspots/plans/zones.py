@@ -18,7 +18,8 @@ from geohotspots.sources import writers
 from geohotspots.sources.readers import scan_csv
 
 
-# What a run reads of an event; everything else is dropped before events are stored.
+# What a run reads of an event, besides a cell id of the caller's and the order column;
+# everything else is dropped before rows are stored.
 EVENT_COLUMNS = (
     "id", "read_order", "latitude", "longitude", "police_station", "junction_name",
     "violation_type", "created_at", "created_local",
@@ -93,13 +94,12 @@ def zone_tables(
 
 
 def export_all(
-    tables: ZoneTables, report: DataFrame, out_dir: str, *, single_file: bool = True
+    tables: ZoneTables, report: DataFrame, out_dir: str, *, single_file: bool = False
 ) -> dict[str, str]:
     """Write every artifact below ``out_dir``; the committer makes each one atomic.
 
-    Hotspots are bounded by the area over eps squared, so one file per artifact is the
-    default. Without ``single_file`` all parts are written in parallel and the GeoJSON
-    document gives way to its line-delimited form.
+    All parts are written in parallel, hotspots as line-delimited GeoJSON. ``single_file``
+    writes one file per artifact and adds the GeoJSON document.
     """
     paths = {}
     if single_file:
@@ -112,7 +112,7 @@ def export_all(
         ),
         "features": writers.write_geojson(tables.scored, f"{out_dir}/hotspots.geojsonl"),
         "peak_windows": writers.write_peak_windows(
-            tables.windows, f"{out_dir}/peak_windows.json"
+            tables.windows, f"{out_dir}/peak_windows.json", single_file=single_file
         ),
         "report": writers.write_ingestion_report(report, f"{out_dir}/ingestion_report.json"),
     }
@@ -124,16 +124,20 @@ def run(
     out_dir: str,
     *,
     multi_line: bool = False,
-    single_file: bool = True,
+    single_file: bool = False,
     tz: str = LOCAL_TZ,
     bbox: BoundingBox = BoundingBox(),
     **parameters,
 ) -> RunResult:
     """CSV to artifacts. ``parameters`` go to :func:`zone_tables`."""
     raw = scan_csv(spark, csv_path, multi_line=multi_line)
-    cleaned = clean.clean_events(raw, tz=tz, bbox=bbox)
-    events = store(cleaned.select(*[c for c in EVENT_COLUMNS if c in cleaned.columns]))
-    report = cut_lineage(clean.ingestion_report(raw, cleaned=events, tz=tz, bbox=bbox))
+    # The raw file is parsed once: tagged rows are stored with the columns a run reads.
+    order = parameters.get("order_by", "read_order")
+    tagged = clean.tag_rejects(raw, tz=tz, bbox=bbox)
+    wanted = {*EVENT_COLUMNS, "h3_cell", order, "reject_reason"}
+    tagged = store(tagged.select(*[c for c in tagged.columns if c in wanted]))
+    events = store(clean.accept(tagged, order_by=order).drop("reject_reason"))
+    report = cut_lineage(clean.ingestion_report(tagged, cleaned=events))
     tables = zone_tables(events, bbox=bbox, **parameters)
     paths = export_all(tables, report, out_dir, single_file=single_file)
     return RunResult(tables, report, paths)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from geohotspots.config import DAY_LABELS
 from geohotspots.functions.text import null_if_csv_na
-from geohotspots.operators.clean import require_columns
+from geohotspots.operators.clean import MALFORMED_FLAG, require_columns
 
 ZONE_DDL = (
     "hotspot_id string, centroid_lat double, centroid_lon double, police_station string, "
@@ -30,11 +30,27 @@ WINDOW_DDL = (
 )
 
 
+_BROKEN = "_broken_record"
+
+
+def _malformed(record: Column, fields: int) -> Column:
+    """Whether a record that does not fit the header has too many fields or an open quote.
+
+    The reader hands over the text of records with too many or too few fields.
+    """
+    bare = F.regexp_replace(record, r'"([^"]|"")*"', "")
+    commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+    return F.coalesce((commas >= fields) | F.contains(bare, F.lit('"')), F.lit(False))
+
+
 def scan_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """Event CSV with header, every column as text, plus a sortable ``read_order``.
 
     ``multi_line`` is only for files whose cells contain line breaks: it makes a file
-    unsplittable.
+    unsplittable. Without it what follows the line break is marked as malformed, as are rows
+    with more fields than the header; missing fields at the end of a row are null. A file
+    whose header differs from the first one's makes the read fail, as its columns would be
+    swapped.
     """
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
     try:
@@ -42,10 +58,15 @@ def scan_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> Dat
     except AnalysisException as error:
         raise ValueError(f"cannot read CSV at {path!r}: {error}") from error
     require_columns(header)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
-    rows = spark.read.schema(schema).options(**options).csv(path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header.columns, _BROKEN]])
+    rows = (
+        spark.read.schema(schema)
+        .options(**options, enforceSchema=False, columnNameOfCorruptRecord=_BROKEN, columnPruning=False)
+        .csv(path)
+    )
     return rows.select(
         *[null_if_csv_na(F.col(f"`{c}`")).alias(c) for c in header.columns],
+        _malformed(F.col(_BROKEN), len(header.columns)).alias(MALFORMED_FLAG),
         F.struct(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),

@@ -19,11 +19,11 @@ def drop_private(df: DataFrame) -> DataFrame:
     return df.drop(*PRIVATE_COLUMNS)
 
 
-def write_priority_csv(zones: DataFrame, path: str, *, single_file: bool = True) -> str:
-    """Zones by ascending rank, with header, also when there are none.
+def write_priority_csv(zones: DataFrame, path: str, *, single_file: bool = False) -> str:
+    """Zones by ascending rank, with header.
 
-    Zones are aggregates, so one file is the default; without ``single_file`` the parts
-    are written in parallel, each a contiguous range of ranks.
+    The parts are written in parallel, each a contiguous range of ranks; ``single_file``
+    makes one file, also when there are no zones.
     """
     columns = [*ZONE_COLUMNS, *(c for c in RISK_COLUMNS if c in zones.columns)]
     rows = drop_private(zones).select(*columns)
@@ -63,43 +63,54 @@ def geojson_features(hotspots: DataFrame) -> DataFrame:
 
 
 def write_geojson(hotspots: DataFrame, path: str) -> str:
-    """Newline-delimited features, written in parallel."""
-    geojson_features(hotspots).select("feature").write.mode("overwrite").text(path)
+    """Newline-delimited features in the order of their id, written in parallel."""
+    lines = geojson_features(hotspots).orderBy("hotspot_id")
+    lines.select("feature").write.mode("overwrite").text(path)
     return path
 
 
-def write_geojson_document(hotspots: DataFrame, path: str) -> str:
-    """One FeatureCollection text file.
+def _write_document(lines: DataFrame, path: str, opening: str, closing: str) -> str:
+    """One text file: ``lines(hotspot_id, line)`` in order, with commas, between two lines.
 
-    Features stay rows: each carries its own comma, and the opening and closing lines
+    The entries stay rows: each carries its own comma, and the opening and closing lines
     are rows at the ends, so nothing is gathered into one value.
     """
-    features = geojson_features(hotspots)
-    first = features.agg(F.min("hotspot_id")).scalar()
-    body = features.select(
+    first = lines.agg(F.min("hotspot_id")).scalar()
+    body = lines.select(
         F.lit(1).alias("part"),
         "hotspot_id",
-        F.when(F.col("hotspot_id") == first, F.col("feature"))
-        .otherwise(F.concat(F.lit(","), F.col("feature")))
+        F.when(F.col("hotspot_id") == first, F.col("line"))
+        .otherwise(F.concat(F.lit(","), F.col("line")))
         .alias("value"),
     )
-    edges = hotspots.sparkSession.createDataFrame(
-        [(0, "", '{"type":"FeatureCollection","features":['), (2, "", "]}")],
-        body.schema,
+    edges = lines.sparkSession.createDataFrame(
+        [(0, "", opening), (2, "", closing)], body.schema
     )
-    lines = body.unionByName(edges).coalesce(1).sortWithinPartitions("part", "hotspot_id")
-    lines.select("value").write.mode("overwrite").text(path)
+    rows = body.unionByName(edges).coalesce(1).sortWithinPartitions("part", "hotspot_id")
+    rows.select("value").write.mode("overwrite").text(path)
     return path
 
 
-def write_peak_windows(windows: DataFrame, path: str) -> str:
-    """One ``{hotspot_id: [window, ...]}`` object per line."""
+def write_geojson_document(hotspots: DataFrame, path: str) -> str:
+    """One FeatureCollection text file."""
+    lines = geojson_features(hotspots).withColumnRenamed("feature", "line")
+    return _write_document(lines, path, '{"type":"FeatureCollection","features":[', "]}")
+
+
+def write_peak_windows(windows: DataFrame, path: str, *, single_file: bool = False) -> str:
+    """One ``{hotspot_id: [window, ...]}`` object per line, in the order of the id; with
+    ``single_file`` one object for all."""
     window = F.struct("day_of_week", "start_hour", "end_hour", "expected_intensity")
     grouped = windows.groupBy("hotspot_id").agg(
         F.array_sort(F.collect_list(F.struct("peak_rank", window.alias("w")))).alias("ws")
     )
-    line = F.to_json(F.create_map("hotspot_id", F.col("ws.w")))
-    grouped.select(line.alias("value")).write.mode("overwrite").text(path)
+    lines = grouped.select(
+        "hotspot_id", F.to_json(F.create_map("hotspot_id", F.col("ws.w"))).alias("line")
+    )
+    if single_file:
+        inner = F.substring("line", 2, F.length("line") - 2)
+        return _write_document(lines.withColumn("line", inner), path, "{", "}")
+    lines.orderBy("hotspot_id").select("line").write.mode("overwrite").text(path)
     return path
 
 

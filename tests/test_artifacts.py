@@ -5,8 +5,10 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from checks.tables import raw_rows
+from checks.tables import clean_rows, raw_rows
+from geohotspots.operators import clean
 from geohotspots.plans import zones as plan
 from geohotspots.sources import readers, writers
 
@@ -22,7 +24,7 @@ def done(spark, tmp_path_factory):
         source, header=True, quote='"', escape='"',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
-    return plan.run(spark, source, str(out / "artifacts"), with_risk=True)
+    return plan.run(spark, source, str(out / "artifacts"), with_risk=True, single_file=True)
 
 
 def text_of(folder):
@@ -67,7 +69,7 @@ def test_no_private_field_leaves(done):
 
 
 def test_peak_windows(spark, done):
-    flat = readers.flatten_peak_windows(spark, done.paths["peak_windows"])
+    flat = readers.flatten_peak_windows(spark, done.paths["peak_windows"], multi_line=True)
     assert flat.count() == done.tables.windows.count()
 
 
@@ -80,7 +82,30 @@ def test_peak_windows_document_over_several_lines(spark, tmp_path):
 
 def test_empty_artifacts(spark, done, tmp_path):
     none = done.tables.zones.filter("false")
-    path = writers.write_priority_csv(none, str(tmp_path / "zones.csv"))
+    path = writers.write_priority_csv(none, str(tmp_path / "zones.csv"), single_file=True)
     assert text_of(path).strip().split(",")[0] == "hotspot_id"
     path = writers.write_geojson_document(done.tables.scored.filter("false"), str(tmp_path / "h.geojson"))
     assert json.loads(text_of(path)) == {"type": "FeatureCollection", "features": []}
+
+
+@pytest.mark.parametrize("single_file", [True, False])
+def test_bytes_do_not_depend_on_partitioning(spark, tmp_path, single_file):
+    def texts(parts):
+        events = clean_rows(spark, SF).repartition(parts)
+        tables = plan.zone_tables(events, order_by="id", with_risk=False)
+        report = clean.ingestion_report(raw_rows(spark, SF).repartition(parts))
+        paths = plan.export_all(tables, report, str(tmp_path / f"{parts}"), single_file=single_file)
+        return {name: text_of(path) for name, path in paths.items()}
+
+    assert texts(1) == texts(7)
+
+
+def test_run_keeps_the_callers_cells_and_order(spark, tmp_path):
+    rows = raw_rows(spark, SF).drop("read_order")
+    rows = rows.withColumn("h3_cell", F.concat(F.lit("mine"), F.col("police_station"))).withColumn("nr", F.col("id"))
+    rows.coalesce(1).write.csv(str(tmp_path / "in"), header=True, quote='"', escape='"')
+    found = plan.run(
+        spark, str(tmp_path / "in"), str(tmp_path / "out"), order_by="nr", min_samples=500, with_risk=False
+    )
+    cells = {r["h3_cell"] for r in found.tables.scored.collect()}
+    assert cells and all(c.startswith("mine") for c in cells)

@@ -150,3 +150,65 @@ def test_hot_id_is_reduced_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("concat('x', id % 2) AS id", "id AS read_order")
     plan = clean.dedupe_first(df)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+HEADER = "id,latitude,longitude,created_datetime,note"
+GOOD = '1,12.95,77.6,2024-01-15 09:00:00,"a, b"'
+
+
+def _report(spark, path, **options):
+    return {r["metric"]: r["n"] for r in clean.ingestion_report(scan_csv(spark, str(path), **options)).collect()}
+
+
+@pytest.mark.parametrize(
+    ("bad", "read", "malformed"),
+    [
+        ("2,12.95,77.6,2024-01-15 09:00:00,x,extra", 2, 1),
+        ("2,12.95,77.6,2024-01-15 09:00:00", 2, 0),
+        ('2,12.95,77.6,2024-01-15 09:00:00,"two\nlines"', 3, 1),
+        ('2,12.95,77.6,2024-01-15 09:00:00,"say ""hi"", all"', 2, 0),
+    ],
+)
+def test_rows_that_do_not_fit_the_header(spark, tmp_path, bad, read, malformed):
+    (tmp_path / "e.csv").write_text("\n".join([HEADER, GOOD, bad]) + "\n")
+    got = _report(spark, tmp_path / "e.csv")
+    assert got["total_rows_read"] == read and got.get("malformed_row", 0) == malformed
+    dropped = sum(got.get(k, 0) for k in ("malformed_row", "unparseable_created_at", "invalid_geo", "duplicate_id"))
+    assert read == got["rows_retained"] + dropped
+    assert _report(spark, tmp_path / "e.csv", multi_line=True)["total_rows_read"] == 2
+
+
+def test_files_of_other_column_order_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"{HEADER}\n{GOOD}\n")
+    (tmp_path / "b.csv").write_text("id,longitude,latitude,created_datetime,note\n2,77.6,12.95,2024-01-15,x\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        scan_csv(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize(
+    ("text", "local"),
+    [
+        ("2024/01/15 09:00:00", "2024-01-15 09:00:00"),
+        ("15-01-2024 09:00", "2024-01-15 09:00:00"),
+        ("Jan 15 2024 09:00", "2024-01-15 09:00:00"),
+        ("20240115 090000", "2024-01-15 09:00:00"),
+        ("01/15/2024 09:00", "2024-01-15 09:00:00"),
+        ("2024-01-15 03:30:00 UTC", "2024-01-15 09:00:00"),
+        ("2024-01-15 09:00:00 Asia/Kolkata", "2024-01-15 09:00:00"),
+        ("15/15/2024 09:00", None),
+        ("20241315", None),
+    ],
+)
+def test_further_timestamp_layouts(spark, text, local):
+    from geohotspots.functions.timestamps import parse_instant, wall_clock
+
+    row = spark.createDataFrame([(text,)], "t string").select(wall_clock(parse_instant(F.col("t"))).cast("string"))
+    assert row.first()[0] == local
+
+
+def test_bare_nan_keeps_the_rest_of_an_array(spark):
+    from geohotspots.functions.text import json_string_array, offence_codes
+
+    rows = spark.createDataFrame([("[NaN, 7]",), ("[-Infinity,8, Infinity ]",), ('["a, NaN, b"]',)], "t string")
+    assert [r[0] for r in rows.select(offence_codes(F.col("t"))).collect()][:2] == [[7], [8]]
+    assert rows.select(json_string_array(F.col("t"))).collect()[2][0] == ["a, NaN, b"]

@@ -262,3 +262,19 @@ def test_first_day_is_monday(spark):
     assert date(2024, 1, 1).weekday() == 0
     act = activity.hotspot_activity(events(spark, [("a", at(1, 9), [], None)]))
     assert peaks.slot_counts(act).first()["slot"] == 9
+
+
+def test_risk_tiers_repeat_over_many_rows(spark):
+    columns = ["hotspot_id", *risk.FEATURES]
+    df = spark.range(6000).select(
+        F.format_string("hotspot_%05d", F.col("id")).alias("hotspot_id"),
+        *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10_000)) / 10_000.0).alias(c) for i, c in enumerate(risk.FEATURES)],
+    )
+
+    def tiers(parts):
+        rows = df.repartition(parts).select(*columns)
+        return {r.hotspot_id: r.risk_tier for r in risk.risk_tiers(rows, risk.standardise(rows), restarts=2).collect()}
+
+    first = tiers(7)
+    assert len(set(first.values())) == 3
+    assert tiers(7) == first and tiers(1) == first and tiers(4) == first
