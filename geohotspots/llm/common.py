@@ -105,7 +105,7 @@ def word_batches(
 _ODD = np.random.default_rng(11).integers(1, 1 << 62, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     """Spread sums over all bits (a bijection)."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
@@ -120,4 +120,48 @@ def window_codes(codes: np.ndarray, offsets: Sequence[int]) -> np.ndarray:
     total = np.zeros(n, np.uint64)
     for o in offsets:
         total += codes[o : o + n] * _ODD[o % len(_ODD)]
-    return _mixed(total)
+    return mixed(total)
+
+
+#: Characters hashed together by :func:`run_hashes`; a longer text is a batch of its own.
+BATCH_CHARS = 250_000
+_BASE = 0x9E3779B97F4A7C15
+
+
+class _Powers:
+    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 2 * BATCH_CHARS)
+            inverse = pow(_BASE, -1, 1 << 64)
+            self.up, self.down = (
+                np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)].cumprod(dtype=np.uint64)
+                for base in (_BASE, inverse)
+            )
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def byte_codes(seed: int) -> np.ndarray:
+    """A random number for each byte, for :func:`run_hashes`."""
+    return np.random.default_rng(seed).integers(1, 1 << 62, 256, dtype=np.uint64)
+
+
+def run_hashes(raw: np.ndarray, inside: np.ndarray, codes: np.ndarray):
+    """Hash and first byte of every run of ``inside`` bytes.
+
+    Equal runs have equal hashes wherever they stand: sums of ``codes`` times powers of the
+    place are shifted back to the run's start.
+    """
+    change = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = change[::2], change[1::2]
+    up, down = _POWERS.upto(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(codes[raw] * up[: len(raw)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts]), starts

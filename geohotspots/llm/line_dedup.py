@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from geohotspots.llm.common import carried, struct_udf
+from geohotspots.llm.common import BATCH_CHARS, byte_codes, carried, mixed, run_hashes, struct_udf
 from geohotspots.llm.pigeonhole import hamming_links
 from geohotspots.operators.components import connected_components
 from geohotspots.session import store
@@ -24,8 +24,6 @@ from geohotspots.session import store
 RADIUS, BLOCKS, SIMILARITY = 3, 5, 0.8
 
 _OTHER, _DIGITS = re.compile(r"[^a-z0-9\x80-\U0010ffff]+"), re.compile(r"[0-9]+")
-#: Characters hashed together; a longer text is a batch of its own.
-_BATCH_CHARS = 250_000
 #: Distinct words of one sum of 16-bit counters.
 _SUMMED = 60_000
 
@@ -50,48 +48,17 @@ def _byte_table() -> np.ndarray:
 
 
 _BYTES = _byte_table()
-_CODES = np.random.default_rng(23).integers(1, 1 << 62, 256, dtype=np.uint64)
+_CODES = byte_codes(23)
 _BASE = 0x9E3779B97F4A7C15
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 2 * _BATCH_CHARS)
-            inverse = pow(_BASE, -1, 1 << 64)
-            self.up, self.down = (
-                np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)].cumprod(dtype=np.uint64)
-                for base in (_BASE, inverse)
-            )
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
 def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of ``text`` (see :func:`normal_line`) and the line of each."""
     raw = _BYTES[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)]
     digit = raw == ord("0")
     if digit.any():
         raw = raw[~(digit & np.r_[False, digit[:-1]])]
-    inside = raw > 1
-    change = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = change[::2], change[1::2]
-    up, down = _POWERS.upto(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_CODES[raw] * up[: len(raw)], out=sums[1:])
-    hashes = _mix((sums[ends] - sums[starts]) * down[starts])
+    hashes, starts = run_hashes(raw, raw > 1, _CODES)
     return hashes, np.searchsorted(np.flatnonzero(raw == 1), starts)
 
 
@@ -121,7 +88,7 @@ def _line_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     place = np.arange(len(codes)) - np.repeat(starts, lengths)
     weight = (place + 1).astype(np.uint64) * np.uint64(_BASE)
     weight = (weight ^ (weight >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
-    return _mix(np.add.reduceat(codes * weight, starts))
+    return mixed(np.add.reduceat(codes * weight, starts))
 
 
 def line_prints(texts: list[str]) -> dict:
@@ -156,7 +123,7 @@ def line_prints(texts: list[str]) -> dict:
     for text in texts:
         group.append(text)
         size += len(text)
-        if size >= _BATCH_CHARS:
+        if size >= BATCH_CHARS:
             flush()
             size = 0
     if group:
