@@ -232,7 +232,7 @@ def _(t):
     return readers.scan_csv(t.spark, _raw_csv(t)).drop("read_order", clean.MALFORMED_FLAG)
 
 
-@register("scan_csv_layouts", "", """
+@register("scan_csv_layouts", "raw", """
 SELECT CAST(count(*) * 3 AS BIGINT) AS total_rows_read, CAST(count(*) AS BIGINT) AS malformed_row FROM events""")
 def _(t):
     # One row as it should be, one with a field too many, one with a field too few, per event.
@@ -263,7 +263,7 @@ LAYOUTS = (
 )
 
 
-@register("parse_timestamp_layouts", "", """
+@register("parse_timestamp_layouts", "raw", """
 SELECT event_id, strftime(CASE event_id % 6 WHEN 4 THEN date_trunc('second', ts) + INTERVAL 330 MINUTE
  WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END,
  '%Y-%m-%d %H:%M:%S') AS local_time FROM events""")

@@ -129,15 +129,9 @@ def _probe(
 
     ``probes`` come from sparse sub-cells, so at most
     ``min_samples - 1`` per sub-cell; ``targets`` carry ``points``, the size of their
-    sub-cell, which sets the number of salts.
+    sub-cell, which sets the number of salts. Only targets in a sub-cell that some probe can
+    reach are shuffled.
     """
-    salted = targets.select(
-        F.col("cx").alias("tx"),
-        F.col("cy").alias("ty"),
-        F.pmod(F.xxhash64("lat", "lon"), _salts(F.col("points"))).cast("int").alias("salt"),
-        *[F.col(c).alias(f"t_{c}") for c in _VECTOR],
-        F.col("weight").alias("t_weight"),
-    )
     occupied = cells.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), "points")
     # Neighbouring sub-cells are paired first, so a probe meets occupied ones only.
     links = (
@@ -146,6 +140,14 @@ def _probe(
         .select("cx", "cy", _offset_rows(grid.offsets))
         .join(occupied, ["tx", "ty"])
     )
+    reached = links.select(F.col("tx").alias("cx"), F.col("ty").alias("cy")).distinct()
+    salted = targets.join(reached, ["cx", "cy"], "left_semi").select(
+        F.col("cx").alias("tx"),
+        F.col("cy").alias("ty"),
+        F.pmod(F.xxhash64("lat", "lon"), _salts(F.col("points"))).cast("int").alias("salt"),
+        *[F.col(c).alias(f"t_{c}") for c in _VECTOR],
+        F.col("weight").alias("t_weight"),
+    )
     spread = probes.select("cx", "cy", *_POINT, *_VECTOR).join(links, ["cx", "cy"]).select(
         *_POINT,
         *_VECTOR,
@@ -236,11 +238,16 @@ def _exact_edges(
     pairs: DataFrame, cores: DataFrame, grid: SubcellGrid, level: int
 ) -> DataFrame:
     """Edges among small undecided pairs, comparing their points."""
+    asked = (
+        pairs.select(F.col("ax").alias("x"), F.col("ay").alias("y"))
+        .union(pairs.select("bx", "by"))
+        .distinct()
+    )
     fine = cores.select(
         *_VECTOR,
         grid.column(F.col("lon"), level).alias("x"),
         grid.row(F.col("lat"), level).alias("y"),
-    )
+    ).join(asked, ["x", "y"], "left_semi")
     left = fine.select(F.col("x").alias("ax"), F.col("y").alias("ay"), *_VECTOR)
     right = fine.select(
         F.col("x").alias("bx"),
