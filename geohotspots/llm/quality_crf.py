@@ -17,6 +17,8 @@ from geohotspots.llm.common import bucket, carried, struct_udf, with_columns
 
 #: Labelled documents that the model is fitted on, the first in the order of a hash.
 TRAINING_DOCS = 2000
+#: Longest text that may be sampled, as the sample comes to the driver.
+TRAINING_CHARS = 50_000
 #: A training chain; longer documents give several. Scoring has no such limit.
 CHAIN = 16
 #: Documents scored together; their chains are padded to the longest of them.
@@ -198,11 +200,23 @@ def _calibrate(share: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 0.05)), float(beta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = TRAINING_DOCS) -> LineCrf:
-    """Fit on at most ``sample`` labelled documents outside the held-out fold.
+@dataclass
+class Constant:
+    """Stands in where there is nothing to learn from: one score for every text."""
+
+    value: float
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        return np.full(len(texts), self.value)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = TRAINING_DOCS) -> LineCrf | Constant:
+    """Fit on at most ``sample`` labelled documents outside the held-out fold, of at most
+    ``TRAINING_CHARS`` characters each.
 
     The sample is the first in the order of a hash of the id, so it does not depend on
     partitioning. Labels other than 0 and 1 and labels without a document are left out.
+    With labels of one class every score is that class; with none, 1: nothing is rejected.
     """
     chosen = (
         labels.filter(F.col("quality").isin(0, 1) & (bucket(F.col("doc_id"), 5) != 0))
@@ -214,16 +228,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAINING_DOCS) -> Li
     # The sample has a fixed bound, so it may be broadcast.
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .filter(F.length("text") <= TRAINING_CHARS)
         .join(F.broadcast(chosen), "doc_id")
         .select(F.col("quality").cast("int").alias("quality"), "text", "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         .limit(sample)
         .toPandas()
     )
-    return fit(rows["text"].tolist(), rows["quality"].tolist())
+    truth = rows["quality"].tolist()
+    if len(set(truth)) < 2:
+        return Constant(float(truth[0]) if truth else 1.0)
+    return fit(rows["text"].tolist(), truth)
 
 
-def score(docs: DataFrame, model: LineCrf) -> DataFrame:
+def score(docs: DataFrame, model: LineCrf | Constant) -> DataFrame:
     """Add ``held_out``, ``score`` and ``predicted``; such columns of ``docs`` are replaced.
 
     Null texts count as empty. An empty text is one blank line and gets the score the model

@@ -64,3 +64,9 @@ def test_held_out_accuracy(spark, small):
 def test_one_class_is_refused():
     with pytest.raises(ValueError):
         q.fit(["a", "b"], [1, 1])
+
+
+def test_nothing_to_learn(small, no_docs, odd_docs):
+    assert q.train(no_docs, small["labels"]).value == 1.0
+    assert q.train(small["documents"], small["labels"].filter("quality = 0")).value == 0.0
+    assert q.keep_good(odd_docs, small["labels"].limit(0)).count() == odd_docs.count()
