@@ -48,21 +48,30 @@ def chord_limit(metres: float) -> float:
 
 
 def with_hex_cell(
-    df: DataFrame, lat: str, lon: str, resolution: int = 9, name: str = "h3_cell"
+    df: DataFrame,
+    lat: str,
+    lon: str,
+    resolution: int = 9,
+    name: str = "h3_cell",
+    origin: tuple[float, float] = (HEX_LAT0, HEX_LON0),
 ) -> DataFrame:
     """Add the id ``hex{res}_{q}_{r}`` of the pointy-top hexagon that holds a coordinate.
 
+    ``origin`` (latitude, longitude) is where the grid starts and its cells have their
+    nominal size: choose it near the data. Ids of different origins do not compare.
+
     Local equirectangular projection, axial coordinates, cube rounding. The edge shrinks
     by sqrt(7) per resolution step. Every value used more than once is a column of its
     own step, which keeps the generated code small.
     """
     require_int("resolution", resolution, 0, 15)
     ky = math.radians(1.0) * EARTH_RADIUS_M
-    kx = ky * math.cos(math.radians(HEX_LAT0))
+    lat0, lon0 = origin
+    kx = ky * math.cos(math.radians(lat0))
     edge = HEX_EDGE_RES9_M * math.sqrt(7.0) ** (9 - resolution)
     kept = [F.col(f"`{c}`") for c in df.columns if c != name]
-    x = (F.col(lon) - F.lit(HEX_LON0)) * F.lit(kx)
-    y = (F.col(lat) - F.lit(HEX_LAT0)) * F.lit(ky)
+    x = (F.col(lon) - F.lit(lon0)) * F.lit(kx)
+    y = (F.col(lat) - F.lit(lat0)) * F.lit(ky)
     axial = df.select(
         *kept,
         ((x * F.lit(math.sqrt(3.0) / 3.0) - y / F.lit(3.0)) / F.lit(edge)).alias("_q"),

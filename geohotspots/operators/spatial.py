@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geohotspots.config import CELL_PREFIX, CLUSTER_PREFIX, NOISE_LABEL, BoundingBox
-from geohotspots.functions.geo import fixed_mean, fixed_sum, with_hex_cell
+from geohotspots.functions.geo import HEX_LAT0, HEX_LON0, fixed_mean, fixed_sum, with_hex_cell
 from geohotspots.functions.text import MODE_NULL_TOKENS, is_null_like
 from geohotspots.operators.dbscan import find_clusters, label_events
 from geohotspots.session import cut_lineage
@@ -21,9 +21,14 @@ class Assignment(NamedTuple):
     used_dbscan: bool
 
 
-def assign_cells(events: DataFrame, resolution: int = 9, name: str = "h3_cell") -> DataFrame:
-    """Add the hexagon id of every event at ``resolution`` (0 to 15)."""
-    return with_hex_cell(events, "latitude", "longitude", resolution, name)
+def assign_cells(
+    events: DataFrame,
+    resolution: int = 9,
+    name: str = "h3_cell",
+    origin: tuple[float, float] = (HEX_LAT0, HEX_LON0),
+) -> DataFrame:
+    """Add the hexagon id of every event at ``resolution`` (0 to 15) in the grid at ``origin``."""
+    return with_hex_cell(events, "latitude", "longitude", resolution, name, origin)
 
 
 def by_cluster(events: DataFrame) -> DataFrame:
