@@ -199,3 +199,36 @@ def mix(
         )
         .select("row.*", "mix_slot", "mix_position")
     )
+
+
+def oracle_sql(table: str = "documents", block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> str:
+    """DuckDB SQL of ``mix`` without given weights: places each slot after the other."""
+    left = "least(share, blocks - fc * share)"
+    return f"""
+WITH RECURSIVE
+sz AS (SELECT coalesce(source, '{NO_SOURCE}') AS src, count(*) AS n FROM {table} GROUP BY 1),
+ex AS (SELECT src, n, pow(CAST(n AS DOUBLE), {POWER}) / sum(pow(CAST(n AS DOUBLE), {POWER})) OVER () * {cycle} AS e FROM sz),
+sh AS (SELECT src, CAST(greatest(floor(e) + CASE WHEN row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, src)
+  <= {cycle} - sum(floor(e)) OVER () THEN 1 ELSE 0 END, 1) AS BIGINT) AS share,
+  CAST((n + {block_rows} - 1) // {block_rows} AS BIGINT) AS blocks FROM ex),
+cuts AS (SELECT DISTINCT unnest([0, blocks // share, blocks // share + 1]) AS c FROM sh),
+sp AS (SELECT * FROM (SELECT c AS fc, lead(c) OVER (ORDER BY c) AS tc FROM cuts) x WHERE tc IS NOT NULL),
+pt AS (SELECT fc, tc, list(src ORDER BY src) AS s, list({left} ORDER BY src) AS m, CAST(sum({left}) AS BIGINT) AS slots
+  FROM sp JOIN sh ON fc * share < blocks GROUP BY fc, tc),
+edf AS (
+  SELECT fc, CAST(0 AS BIGINT) AS slot, list_transform(m, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick FROM pt
+  UNION ALL
+  SELECT fc, slot + 1, list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p
+  FROM (SELECT fc, slot, done, list_min(list_filter(list_transform(range(1, len(m) + 1), lambda i:
+      CASE WHEN done[i] < m[i] AND (done[i] * slots) // m[i] <= slot
+      THEN {{'d': ((done[i] + 1) * slots + m[i] - 1) // m[i], 'i': i}} END), lambda x: x IS NOT NULL)).i AS p
+    FROM edf JOIN pt USING (fc) WHERE slot < slots) y),
+base AS (SELECT *, coalesce(sum(slots * (tc - fc)) OVER (ORDER BY fc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM pt),
+placed AS (SELECT fc, tc, b, slots, slot - 1 AS slot, s[pick] AS src FROM edf JOIN base USING (fc) WHERE pick IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY fc, src ORDER BY slot) - 1 AS k FROM placed),
+d AS (SELECT doc_id, source, coalesce(source, '{NO_SOURCE}') AS src,
+  row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS nr FROM {table}),
+c AS (SELECT d.*, (nr // {block_rows}) // share AS cy, (nr // {block_rows}) % share AS k FROM d JOIN sh USING (src))
+SELECT doc_id, source, CAST(b + (cy - fc) * slots + slot AS BIGINT) AS mix_slot,
+  CAST((b + (cy - fc) * slots + slot) * {block_rows} + nr % {block_rows} AS BIGINT) AS mix_position
+FROM c JOIN numbered USING (src, k) WHERE cy >= fc AND cy < tc"""

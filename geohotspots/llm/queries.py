@@ -86,4 +86,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op4_rule_ledger": rule_ledger.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op4_rule_ledger": rule_ledger.oracle_sql(),
+    "op7_pfair_mix": pfair_mix.oracle_sql(),
+}
