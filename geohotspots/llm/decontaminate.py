@@ -112,7 +112,9 @@ class ItemIndex:
                 for doc in range(max(low, 0), min(high, len(starts) - 1)):
                     got = self.overlaps(codes, item, offset, int(starts[doc]), int(starts[doc + 1]))
                     if got:
-                        best[doc, item, got[0]] = (int(self.ids[item]), *got)
+                        # Of alignments that begin at one word the one that reaches furthest counts.
+                        row = (int(self.ids[item]), *got)
+                        best[doc, item, got[0]] = max(row, best.get((doc, item, got[0]), row))
             for (doc, _, _), row in sorted(best.items()):
                 out[first + doc].append(row)
         return {"hits": out}
@@ -178,3 +180,36 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any verified overlap, with all their columns."""
     found = carried(docs, {"hits": overlap_column(docs, benchmark)})
     return found.filter(F.size("hits") == 0).select("row.*")
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of ``overlaps``: all pairs of equal words, by alignment."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    marks = r"[!-/:-@\[-`{-~]+"
+
+    def words(text: str) -> str:
+        parts = f"string_split_regex(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+')"
+        word = f"translate(w, '{upper}', '{lower}')"
+        bare_word = f"regexp_replace(regexp_replace({word}, '^{marks}', ''), '{marks}$', '')"
+        return (
+            f"list_transform(list_filter({parts}, lambda w: w <> ''), "
+            f"lambda w: coalesce(nullif({bare_word}, ''), {word}))"
+        )
+
+    return f"""
+WITH dl AS (SELECT row_number() OVER () AS r, doc_id, {words('text')} AS ws FROM documents),
+il AS (SELECT row_number() OVER () AS it, item_id, {words('text')} AS ws
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) x),
+d AS (SELECT r, doc_id, len(ws) AS nd, unnest(ws) AS x, unnest(range(len(ws))) AS p FROM dl),
+i AS (SELECT it, item_id, len(ws) AS ni, least({OVERLAP}, len(ws)) AS width, unnest(ws) AS x, unnest(range(len(ws))) AS p FROM il),
+g AS (SELECT r, doc_id, nd, it, item_id, ni, width, CAST(ceil(width * {SIMILARITY} - 1e-9) AS BIGINT) AS need, d.p - i.p AS o, d.p AS p
+  FROM d JOIN i USING (x) QUALIFY count(*) OVER (PARTITION BY r, it, d.p - i.p) >= need),
+k AS (SELECT DISTINCT r, it, o, width, need, greatest(o, 0) AS lo, least(o + ni, nd) AS hi FROM g),
+a AS (SELECT r, it, o, width, need, unnest(range(lo, hi - width + 1)) AS a FROM k WHERE hi - lo >= width),
+f AS (SELECT r, it, o, a, width FROM a JOIN g USING (r, it, o, width, need) WHERE p >= a AND p < a + width
+  GROUP BY r, it, o, a, width, need HAVING count(*) >= need),
+s AS (SELECT r, it, o, min(a) AS lo, max(a) + max(width) AS hi FROM f GROUP BY r, it, o),
+z AS (SELECT r, doc_id, it, item_id, min(p) AS first_word, max(p) AS last_word, count(*) AS n_equal
+  FROM s JOIN g USING (r, it, o) WHERE p >= lo AND p < hi GROUP BY r, doc_id, it, item_id, o)
+SELECT doc_id, item_id, first_word, t.l AS last_word, t.n AS n_equal FROM (
+  SELECT doc_id, item_id, first_word, max({{'l': last_word, 'n': n_equal}}) AS t FROM z GROUP BY r, it, doc_id, item_id, first_word) y"""

@@ -88,5 +88,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op4_rule_ledger": rule_ledger.oracle_sql(),
+    "op5_spaced_seeds": decontaminate.oracle_sql(),
     "op7_pfair_mix": pfair_mix.oracle_sql(),
 }
