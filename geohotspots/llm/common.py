@@ -165,3 +165,16 @@ def run_hashes(raw: np.ndarray, inside: np.ndarray, codes: np.ndarray):
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(codes[raw] * up[: len(raw)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts]), starts
+
+
+def hashed_sample(texts: DataFrame, sample: int) -> list[str]:
+    """The distinct ``text`` values with the smallest hashes, at most ``sample`` hashes.
+
+    Only hashes are ordered, so no task sends more texts to the driver than are sampled.
+    """
+    coded = texts.select("text", F.xxhash64("text").alias("h"))
+    last = coded.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    rows = coded.filter(F.col("h") <= last).distinct().collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: (r["h"], r["text"]))]

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geohotspots.llm.common import struct_udf
+from geohotspots.llm.common import hashed_sample, struct_udf
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with a base span that the network is trained on, the first in a hash order.
@@ -387,15 +387,8 @@ def train(docs: DataFrame, sample: int = TRAINING_DOCS) -> Tagger | None:
     The sample is the first in the order of a hash of the text. Only short documents may
     be sampled, as whole texts come to the driver: up to 20,000 characters.
     """
-    texts = [
-        r["text"]
-        for r in docs.select("text")
-        .filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-        .distinct()
-        .orderBy(F.xxhash64("text"), "text")
-        .limit(sample)
-        .collect()
-    ]
+    usable = docs.select("text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
+    texts = hashed_sample(usable, sample)
     texts = [t for t in texts if base_spans(t)]
     windows, tags = labelled_windows(texts)
     return Tagger.fresh().train(windows, tags) if len(windows) else None
