@@ -12,7 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -194,20 +194,32 @@ def _verified(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([similar(normal_line(a), normal_line(b)) for a, b in zip(left, right)])
 
 
+def _keys() -> dict[str, Column]:
+    """``doc``, the id, and ``copy``, a hash of id and text: together they name a text.
+
+    The id alone does not: rows without one, or with one in common, have texts of their own.
+    """
+    return {"doc": F.col("doc_id").cast("long"), "copy": F.xxhash64("doc_id", "text")}
+
+
+def _same_text(left: DataFrame, right: DataFrame) -> Column:
+    return left["doc"].eqNullSafe(right["doc"]) & (left["copy"] == right["copy"])
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc, at, line, fp``: one row for each line with a word."""
+    """``doc, copy, at, line, fp``: one row for each line with a word."""
     prints = struct_udf(line_prints, "at array<int>, line array<long>, fp array<long>")
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc"), prints(F.col("text")).alias("p"))
-        .select("doc", F.inline(F.arrays_zip("p.at", "p.line", "p.fp")))
+        docs.select(*[c.alias(n) for n, c in _keys().items()], prints(F.col("text")).alias("p"))
+        .select("doc", "copy", F.inline(F.arrays_zip("p.at", "p.line", "p.fp")))
     )
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``line, text`` for ``wanted(line, doc, at)``."""
-    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "at")).alias("asked"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    found = source.join(asked, source["doc"].eqNullSafe(asked["doc"]))
+    """``line, text`` for ``wanted(line, doc, copy, at)``."""
+    asked = wanted.groupBy("doc", "copy").agg(F.collect_list(F.struct("line", "at")).alias("asked"))
+    source = docs.select(*[c.alias(n) for n, c in _keys().items()], "text")
+    found = source.join(asked, _same_text(source, asked))
     return (
         found.select(F.split("text", "\n", -1).alias("parts"), F.inline("asked"))
         .select("line", F.get("parts", F.col("at")).alias("text"))
@@ -216,16 +228,16 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def group_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored lines ``doc, at, line, fp`` and the groups ``line, root`` of alike lines.
+    """Stored lines ``doc, copy, at, line, fp`` and the groups ``line, root`` of alike lines.
 
     Only lines with a link are in the second table. Equal normalised lines are one node
     from the start; nodes of equal or close fingerprints become candidates.
     """
     lines = store(_lines(docs))
     nodes = lines.groupBy("line").agg(
-        F.min("fp").alias("fp"), F.min(F.struct("doc", "at")).alias("first")
+        F.min("fp").alias("fp"), F.min(F.struct("doc", "copy", "at")).alias("first")
     )
-    nodes = store(nodes.select("line", "fp", "first.doc", "first.at"))
+    nodes = store(nodes.select("line", "fp", "first.doc", "first.copy", "first.at"))
     pairs = store(hamming_links(nodes.select(F.col("line").alias("node"), "fp"), RADIUS, BLOCKS))
 
     def checked(candidates: DataFrame) -> DataFrame:
@@ -266,19 +278,19 @@ def group_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def surplus_lines(docs: DataFrame) -> DataFrame:
-    """``doc, dropped``: the numbers (from 0) of the lines to drop from each document.
+    """``doc, copy, dropped``: the numbers (from 0) of the lines to drop from each text.
 
     In every group the occurrence with the smallest document and line number stays.
     """
     lines, roots = group_lines(docs)
-    counted = lines.groupBy("line").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
+    counted = lines.groupBy("line").agg(F.min(F.struct("doc", "copy", "at")).alias("first"), F.count("*").alias("n"))
     named = counted.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
     keepers = named.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
     repeated = named.join(keepers.drop("n"), "root").select("line", "keep")
     return (
         lines.join(repeated, "line")
-        .filter(~F.struct("doc", "at").eqNullSafe(F.col("keep")))
-        .groupBy("doc")
+        .filter(~F.struct("doc", "copy", "at").eqNullSafe(F.col("keep")))
+        .groupBy("doc", "copy")
         .agg(F.sort_array(F.collect_set("at")).alias("dropped"))
     )
 
@@ -287,12 +299,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the surplus lines cut out of ``text``; no row is dropped.
 
     Lines are what stands between line feeds; lines without a letter or digit are never
-    surplus. A text that loses all its lines becomes empty; null texts stay null. Rows of
-    one id (or without an id) count as copies of one document: a line number that is surplus
-    goes from all of them. ``n_chars``, if there is such a column, follows the text.
+    surplus. A text that loses all its lines becomes empty; null texts stay null. Rows equal
+    in id and text count as copies of one document: a line number that is surplus goes from
+    all of them. Rows that share an id, or have none, but differ in text are documents of
+    their own. ``n_chars``, if there is such a column, follows the text.
     """
-    rows = carried(docs, {"id": F.col("doc_id").cast("long")})
-    both = rows.join(surplus_lines(docs), F.col("id").eqNullSafe(F.col("doc")), "left")
+    rows, gone = carried(docs, _keys()), surplus_lines(docs)
+    both = rows.join(gone, _same_text(rows, gone), "left")
     text = F.col("row.text")
     kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("dropped", i))
     new = both.select("row", F.when(F.col("dropped").isNull(), text).otherwise(F.concat_ws("\n", kept)).alias("new"))
@@ -308,10 +321,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, dropped``: the surplus line numbers of each document."""
+    """``doc_id, n_lines, n_dropped, dropped``: the surplus line numbers of each row's text."""
     gone = surplus_lines(docs)
-    slim = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    return slim.join(gone, slim["doc_id"].cast("long").eqNullSafe(gone["doc"]), "left").select(
+    keys = [c.alias(n) for n, c in _keys().items()]
+    slim = docs.select("doc_id", *keys, F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    return slim.join(gone, _same_text(slim, gone), "left").select(
         "doc_id",
         "n_lines",
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),

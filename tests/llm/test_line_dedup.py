@@ -142,3 +142,20 @@ def test_odd_rows(odd_docs, no_docs):
     assert by_id[100]["text"].startswith("The same") and by_id[119]["text"] == ""
     assert q.line_report(odd_docs).count() == odd_docs.count()
     assert q.dedup_lines(no_docs).count() == 0 and q.line_report(no_docs).count() == 0
+
+
+def test_rows_without_an_id_or_with_a_shared_one_keep_their_own_lines(spark):
+    shared = "this line stands in many of the rows here"
+    texts = {
+        "a": f"first of a\n{shared}\nlast of a",
+        "b": f"first of b\nsecond of b only\n{shared}",
+        "c": f"{shared}\nsecond of c only",
+        "d": f"first of d\n{shared}\nlast of d",
+    }
+    for ids in ([None] * 4, [7] * 4, [None, None, 7, 7]):
+        frame = spark.createDataFrame(list(zip(ids, texts.values())), "doc_id long, text string").repartition(3)
+        kept = [line for r in q.dedup_lines(frame).collect() for line in r["text"].split("\n")]
+        # One occurrence of the shared line stays, and every line that occurs once.
+        every = {line for t in texts.values() for line in t.split("\n")}
+        assert sorted(kept) == sorted(every)
+        assert sum(r["n_dropped"] for r in q.line_report(frame).collect()) == 3
