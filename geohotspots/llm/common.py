@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geohotspots.session import store
+
 #: Words a worker keeps in its code table; further words are hashed each time.
 CACHED_WORDS = 400_000
 #: Words of one numpy batch. It bounds memory; a longer text is a batch of its own.
@@ -167,14 +169,24 @@ def run_hashes(raw: np.ndarray, inside: np.ndarray, codes: np.ndarray):
     return mixed((sums[ends] - sums[starts]) * down[starts]), starts
 
 
-def hashed_sample(texts: DataFrame, sample: int) -> list[str]:
-    """The distinct ``text`` values with the smallest hashes, at most ``sample`` hashes.
+def found_sample(texts: DataFrame, finds: Callable[[str], object], found: int, rest: int) -> list[str]:
+    """Distinct ``text`` values: ``found`` of those in which ``finds`` finds something, and
+    ``rest`` of the others, at most, each the first in the order of a hash.
 
-    Only hashes are ordered, so no task sends more texts to the driver than are sampled.
+    All texts are searched before any is sampled, so rare findings are not missed. Only
+    hashes are ordered, so no task sends more texts to the driver than are sampled.
     """
-    coded = texts.select("text", F.xxhash64("text").alias("h"))
-    last = coded.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if last is None:
+
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([bool(finds(t)) for t in column], dtype=bool)
+
+    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    coded = texts.filter("text is not null").select("text", F.xxhash64("text").alias("h"))
+    searched = coded.select("h", F.pandas_udf(run, "boolean").asNondeterministic()("text").alias("found"))
+    marks = store(searched.distinct())
+    first = [marks.filter(c).orderBy("h").limit(n).select("h") for c, n in (("found", found), ("not found", rest))]
+    hashes = [r["h"] for f in first for r in f.collect()]
+    if not hashes:
         return []
-    rows = coded.filter(F.col("h") <= last).distinct().collect()
+    rows = coded.filter(F.col("h").isin(hashes)).distinct().collect()
     return [r["text"] for r in sorted(rows, key=lambda r: (r["h"], r["text"]))]

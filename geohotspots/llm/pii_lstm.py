@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geohotspots.llm.common import hashed_sample, struct_udf
+from geohotspots.llm.common import found_sample, struct_udf
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with a base span that the network is trained on, the first in a hash order.
@@ -382,16 +382,16 @@ def labelled_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, sample: int = TRAINING_DOCS) -> Tagger | None:
-    """Train on at most ``sample`` documents with a base span; None if there is no span.
+    """Train on at most ``sample`` documents with a base span and a quarter as many without;
+    None if there is no span.
 
-    The sample is the first in the order of a hash of the text. Only short documents may
-    be sampled, as whole texts come to the driver: up to 20,000 characters.
+    Both are the first in the order of a hash of the text, among all texts of their sort
+    with a digit or @. Only short documents may be sampled, as whole texts come to the
+    driver: up to 20,000 characters.
     """
     usable = docs.select("text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    texts = hashed_sample(usable, sample)
-    texts = [t for t in texts if base_spans(t)]
-    windows, tags = labelled_windows(texts)
-    return Tagger.fresh().train(windows, tags) if len(windows) else None
+    windows, tags = labelled_windows(found_sample(usable, base_spans, sample, sample // 4))
+    return Tagger.fresh().train(windows, tags) if tags.any() else None
 
 
 def find(texts: list[str], tagger: Tagger | None) -> dict:

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from geohotspots.llm import pii_lstm, secret_cnn
+from geohotspots.llm import common, pii_lstm, secret_cnn
 
 TRICKY = [
     "a@b@c.de x.y+z@d-e.f.g, @no.pe q@r a@b.c_d@e.f 1@2.3",
@@ -143,3 +143,13 @@ def test_odd_rows(odd_docs, no_docs, small):
     assert pii_lstm.personal_data(no_docs, tagger).count() == 0 and pii_lstm.train(no_docs) is None
     assert secret_cnn.secrets(no_docs, net).count() == 0 and secret_cnn.train(no_docs) is None
     assert pii_lstm.personal_data(odd_docs, None).count() == len(texts)
+
+
+def test_rare_findings_are_sampled(spark):
+    found = [f"text {i} of a@b{i}.example.com and password=abcdef012345678{i}" for i in range(3)]
+    texts = [f"text {i} with run abcdefgh{i}xyzuvw and no finding" for i in range(600)] + found
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    for module in (pii_lstm, secret_cnn):
+        sample = common.found_sample(docs, module.base_spans, 5, 10)
+        assert set(found) <= set(sample) and len(sample) == len(found) + 10
+        assert module.train(docs, sample=20) is not None
