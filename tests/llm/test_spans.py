@@ -153,3 +153,35 @@ def test_rare_findings_are_sampled(spark):
         sample = common.found_sample(docs, module.base_spans, 5, 10)
         assert set(found) <= set(sample) and len(sample) == len(found) + 10
         assert module.train(docs, sample=20) is not None
+
+
+def test_every_candidate_is_read():
+    key = "QwErTyUiOpAsDfGhJkLz"
+    for text in (f"AUTH={key}", f"AUTH = {key}", f"auth:{' ' * 30}{key}", f"AUTH:{' ' * 9}'{key}'", f"a=b=c={key}==", f"x=1;A={key}"):
+        assert key in {text[s:e].rstrip("=") for s, e in secret_cnn.candidates(text)}
+    # Short parts of a run with a digit stay in one candidate, with no sign it is none.
+    assert list(secret_cnn.candidates("ab1=cd2=ef3=gh4")) == [(0, 15)]
+    assert not list(secret_cnn.candidates(f"AUTH {key}"))
+    for length in (12, 48, 49, 72, 73, 500):
+        parts = secret_cnn.windows(5, 5 + length)
+        assert parts[0][0] == 5 and parts[-1][1] == 5 + length
+        assert all(c <= b and b - a <= secret_cnn.BODY for (a, b), (c, _) in zip(parts, parts[1:]))
+
+
+def test_a_key_inside_a_long_run_is_read():
+    class Finder:
+        """Scores 1 where an upper-case letter from G to Z is in the window's own part."""
+
+        threshold = 0.5
+
+        def raw(self, x):
+            return (x[:, secret_cnn.CONTEXT : secret_cnn.CONTEXT + secret_cnn.BODY] == 31).any(1).astype(float)
+
+        def probability(self, raw):
+            return raw
+
+    run = "k7" * 100
+    for at in (0, 90, 199):
+        text = f"see {run[:at]}Z{run[at + 1:]} there"
+        found = secret_cnn.find([text, f"see {run} there"], Finder())
+        assert found["spans"] == ["model:4:204", ""] and found["n_added"] == [1, 0]
