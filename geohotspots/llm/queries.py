@@ -10,6 +10,7 @@ from geohotspots.llm import (
     decontaminate,
     license_scan,
     line_dedup,
+    periodic_runs,
     pfair_mix,
     pii_lstm,
     pitman_yor,
@@ -17,6 +18,7 @@ from geohotspots.llm import (
     rule_ledger,
     secret_cnn,
     simhash_bk,
+    spelling_variants,
 )
 from geohotspots.llm.common import table
 
@@ -70,6 +72,14 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_basic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
+def op13_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -83,6 +93,8 @@ QUERIES: dict[str, Query] = {
         op8_pitman_yor,
         op9_license_scan,
         op10_simhash_bktree,
+        op11_basic_factors,
+        op13_partenum,
     )
 }
 
