@@ -10,6 +10,7 @@ from geohotspots.llm import (
     decontaminate,
     license_scan,
     line_dedup,
+    page_wrappers,
     periodic_runs,
     pfair_mix,
     pii_lstm,
@@ -76,6 +77,10 @@ def op11_basic_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(table(spark, sf_dir, "documents"))
 
 
+def op12_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_wrappers.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(table(spark, sf_dir, "documents"))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
         op9_license_scan,
         op10_simhash_bktree,
         op11_basic_factors,
+        op12_wrappers,
         op13_partenum,
     )
 }
