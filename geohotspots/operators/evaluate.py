@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geohotspots.operators.forecast import GLM_GRID, fit_settings, predict_counts
+from geohotspots.operators.forecast import GRIDS, Model, fit_settings, predict_counts
 from geohotspots.operators.ordering import exact_quantiles, running_sums
 
 # --- fixed values ------------------------------------------------------------------
@@ -173,14 +172,18 @@ class Sweep(NamedTuple):
     """Settings with the least hold-out MAE, their model, and all settings with their MAE."""
 
     best: dict
-    model: PipelineModel
+    model: Model
     tried: list[tuple[dict, float]]
 
 
 def grid_sweep(
-    train: DataFrame, test: DataFrame, kind: str = "glm", grid: Sequence[dict] = GLM_GRID
+    train: DataFrame, test: DataFrame, kind: str = "glm", grid: Sequence[dict] | None = None
 ) -> Sweep:
-    """Fit every setting on ``train`` and measure it on ``test``; ties go to the first."""
+    """Fit every setting on ``train`` and measure it on ``test``; ties go to the first.
+
+    Without a ``grid`` the settings listed for the kind of model are tried.
+    """
+    grid = grid or GRIDS[kind]
     models = fit_settings(train, kind, grid)
     predictors = [lambda rows, m=m: predict_counts(rows, m) for m in models]
     errors = sweep_errors(test, predictors)

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from geohotspots.config import SEED, require_int
 from geohotspots.functions.geo import fixed_mean, fixed_sum
+from geohotspots.operators.boosting import Boosting, PoissonTrees, fit_forests, fit_trees
 from geohotspots.operators.panel import (
+    CATEGORIES,
     FEATURES,
     MIN_CELL_TOTAL,
     PANEL_RESOLUTION,
@@ -38,6 +40,15 @@ GBT_GRID = (
     {"maxDepth": 6, "stepSize": 0.03, "maxIter": 90, "minInstancesPerNode": 30},
     {"maxDepth": 7, "stepSize": 0.03, "maxIter": 90, "minInstancesPerNode": 30},
 )
+# Settings of the Poisson trees: size of a tree, rate, number of trees, rows of a leaf.
+TREES_GRID = (
+    {"depth": 3, "learning_rate": 0.2, "trees": 15, "min_rows": 50},
+    {"depth": 4, "learning_rate": 0.2, "trees": 15, "min_rows": 50},
+    {"depth": 4, "learning_rate": 0.12, "trees": 20, "min_rows": 30},
+    {"depth": 5, "learning_rate": 0.12, "trees": 20, "min_rows": 30},
+)
+GRIDS = {"glm": GLM_GRID, "gbt": GBT_GRID, "trees": TREES_GRID}
+Model = PipelineModel | PoissonTrees
 
 
 def demand_pipeline(kind: str = "glm", params: dict | None = None) -> Pipeline:
@@ -56,7 +67,7 @@ def demand_pipeline(kind: str = "glm", params: dict | None = None) -> Pipeline:
             ]
         )
     if kind != "glm":
-        raise ValueError(f"model kind must be 'glm' or 'gbt', got {kind!r}")
+        raise ValueError(f"model kind must be 'glm', 'gbt' or 'trees', got {kind!r}")
     logs = ", ".join(f"log1p({c}) AS log_{c}" for c in _LOG_FEATURES)
     settings = {"regParam": 0.001, "maxIter": 50, **params}
     return Pipeline(
@@ -74,12 +85,19 @@ def demand_pipeline(kind: str = "glm", params: dict | None = None) -> Pipeline:
     )
 
 
-def fit_demand(train: DataFrame, kind: str = "glm", params: dict | None = None) -> PipelineModel:
+def fit_demand(train: DataFrame, kind: str = "glm", params: dict | None = None) -> Model:
+    """The model of :func:`demand_pipeline`, or for ``trees`` boosted Poisson trees that split
+    cell, day of week, month and weekend by sets of their values."""
+    if kind == "trees":
+        return fit_trees(train, FEATURES, CATEGORIES, settings=Boosting(**(params or {})))
     return demand_pipeline(kind, params).fit(train)
 
 
-def fit_settings(train: DataFrame, kind: str, grid: Sequence[dict]) -> list[PipelineModel]:
-    """One model for each setting; the features are assembled once and stored."""
+def fit_settings(train: DataFrame, kind: str, grid: Sequence[dict]) -> list[Model]:
+    """One model for each setting. Features are assembled once; trees grow side by side."""
+    if kind == "trees":
+        settings = [Boosting(**params) for params in grid]
+        return list(fit_forests(train, FEATURES, CATEGORIES, "count", settings))
     stages = [demand_pipeline(kind, params).getStages() for params in grid]
     features = Pipeline(stages=stages[0][:-1]).fit(train)
     assembled = cut_lineage(features.transform(train).select("features", "count"))
@@ -88,7 +106,7 @@ def fit_settings(train: DataFrame, kind: str, grid: Sequence[dict]) -> list[Pipe
     ]
 
 
-def predict_counts(rows: DataFrame, model: PipelineModel | None = None) -> DataFrame:
+def predict_counts(rows: DataFrame, model: Model | None = None) -> DataFrame:
     """Add ``prediction`` >= 0; without a model it is the naive ``lag_7``."""
     if model is None:
         return rows.withColumn("prediction", F.col("lag_7").cast("double"))
@@ -98,12 +116,15 @@ def predict_counts(rows: DataFrame, model: PipelineModel | None = None) -> DataF
     ).select(*rows.columns, "prediction")
 
 
-def feature_importance(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """``(feature, importance)``: tree importance, or absolute GLM coefficient times the
-    standard deviation of the feature, so that features of any scale compare.
+def feature_importance(model: Model, features: DataFrame) -> DataFrame:
+    """``(feature, importance)``: share of the gain of all splits for trees, or absolute GLM
+    coefficient times the standard deviation of the feature, so that any scales compare.
 
     ``features`` is the panel whose deviations count; names come from its metadata.
     """
+    if isinstance(model, PoissonTrees):
+        shares = list(model.importance().items())
+        return features.sparkSession.createDataFrame(shares, "feature string, importance double")
     last = model.stages[-1]
     assembled = model.transform(features)
     meta = assembled.schema["features"].metadata["ml_attr"]["attrs"]
@@ -235,7 +256,7 @@ class DemandForecaster:
     resolution: int = PANEL_RESOLUTION
     min_cell_total: int = MIN_CELL_TOTAL
     kind: str = "glm"
-    model: PipelineModel | None = None
+    model: Model | None = None
     cells: DataFrame | None = None
     history: DataFrame | None = None
     last_date: date | None = None
@@ -270,7 +291,10 @@ class DemandForecaster:
         """Write model, cells, history and settings below ``path``."""
         if self.model is None:
             raise RuntimeError("forecaster is not fitted")
-        self.model.write().overwrite().save(f"{path}/model")
+        if isinstance(self.model, PoissonTrees):
+            self.model.save(self.cells.sparkSession, f"{path}/model")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
         self.cells.write.mode("overwrite").parquet(f"{path}/cells")
         self.history.write.mode("overwrite").parquet(f"{path}/history")
         settings = [(self.resolution, self.min_cell_total, self.kind, self.last_date)]
@@ -288,9 +312,10 @@ class DemandForecaster:
             .json(f"{path}/settings")
             .first()
         )
+        trees = settings["kind"] == "trees"
         return cls(
             **settings.asDict(),
-            model=PipelineModel.load(f"{path}/model"),
+            model=PoissonTrees.load(spark, f"{path}/model") if trees else PipelineModel.load(f"{path}/model"),
             cells=spark.read.parquet(f"{path}/cells"),
             history=spark.read.parquet(f"{path}/history"),
         )

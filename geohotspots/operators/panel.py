@@ -19,6 +19,7 @@ FEATURES = (
     "lag_1", "lag_7", "roll_7_mean", "roll_14_mean", "expanding_mean",
     "dow", "is_weekend", "month", "day", "day_of_year", "cell_code",
 )
+CATEGORIES = ("cell_code", "dow", "month", "is_weekend")
 # -------------------------------------------------------------------------------------
 
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from geohotspots.operators import evaluate
 from geohotspots.operators.forecast import (
-    GBT_GRID,
-    GLM_GRID,
     DemandForecaster,
     feature_importance,
     predict_counts,
@@ -60,7 +58,6 @@ def evaluate_forecaster(
     """Sweep the settings on a temporal hold-out and measure the best."""
     rows = evaluation_panel(celled, min_cell_total)
     train, test = (cut_lineage(part) for part in time_split(rows, test_days))
-    grid = grid or (GBT_GRID if kind == "gbt" else GLM_GRID)
     best, model, tried = evaluate.grid_sweep(train, test, kind, grid)
     scored = cut_lineage(
         evaluate.hotspot_day_label(predict_counts(test, model), train)
