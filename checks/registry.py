@@ -140,6 +140,10 @@ class Tables:
     def model(self):
         return forecast.fit_demand(self.split[0])
 
+    @cached_property
+    def poisson_tree(self):
+        return forecast.fit_demand(self.split[0], "trees", TREE)
+
 
 _tables: dict[tuple[str, str], Tables] = {}
 
@@ -1014,6 +1018,82 @@ def _(t):
     return rounded(evaluate.confusion(t.naive_test, threshold), "precision", "recall", "f1")
 
 
+def _trees_sql(depth: int) -> str:
+    """CTEs of one Poisson tree on the training rows: bins, then for each level the sums of
+    all nodes, the gains of all cuts and sets, and the best split of each node."""
+    sets = [panel.FEATURES.index(c) for c in panel.CATEGORIES]
+    cuts = ", ".join(
+        f"list_sort(list_distinct(list_transform(range(1, 64), lambda i: v{i}[(i * n) // 64 + 1]) || [v{i}[n]]))[:-2] AS c{i}"
+        for i in range(len(panel.FEATURES)) if i not in sets
+    )
+    lists = ", ".join(
+        f"list_sort(list({c}::DOUBLE)) AS v{i}" for i, c in enumerate(panel.FEATURES) if i not in sets
+    )
+    def bins(source: str) -> str:
+        return "[" + ", ".join(
+            f"{c}::BIGINT" if i in sets else f"len(list_filter(c{i}, lambda x: x < {source}.{c}))::BIGINT"
+            for i, c in enumerate(panel.FEATURES)
+        ) + "]"
+
+    def gain(y: str, q: str) -> str:
+        step = f"ln(({y} + s) / (({q}) / 1000000.0::DOUBLE + s))"
+        return f"(({y}) * {step} - ({q}) / 1000000.0::DOUBLE * (exp({step}) - 1))"
+
+    parts = [f""", lists AS MATERIALIZED (SELECT count(*) AS n, ln((sum(count) + 0.5::DOUBLE) / count(*)) AS base, {lists} FROM train),
+cuts AS MATERIALIZED (SELECT base, {cuts} FROM (SELECT * FROM lists) x),
+node0 AS MATERIALIZED (SELECT count AS y, round(exp(base) * 1000000)::BIGINT AS p, {bins('train')} AS b, 0 AS node, 0.0::DOUBLE AS step FROM train, cuts)"""]
+    for level in range(depth):
+        parts.append(f"""h{level} AS MATERIALIZED (SELECT node, f, bin, sum(y)::BIGINT AS y, sum(p)::BIGINT AS p, count(*) AS n
+ FROM (SELECT node, y, p, unnest(range({len(panel.FEATURES)})) AS f, unnest(b) AS bin FROM node{level}) u GROUP BY ALL),
+a{level} AS MATERIALIZED (SELECT node, sum(y)::BIGINT AS ya, sum(p)::BIGINT AS pa, count(*) AS na FROM node{level} GROUP BY node),
+e{level} AS (SELECT *, CASE WHEN f IN ({', '.join(map(str, sets))}) THEN e * y / (p / 1000000.0::DOUBLE + 10) ELSE bin END AS key
+ FROM (SELECT *, unnest(CASE WHEN f IN ({', '.join(map(str, sets))}) THEN [1, -1] ELSE [1] END) AS e FROM h{level}) x),
+r{level} AS MATERIALIZED (SELECT *, f IN ({', '.join(map(str, sets))}) AS is_set, CASE WHEN f IN ({', '.join(map(str, sets))}) THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END AS s,
+ row_number() OVER w AS place, sum(y) OVER w AS yl, sum(p) OVER w AS pl, sum(n) OVER w AS nl, list(bin) OVER w AS levels
+ FROM e{level} WINDOW w AS (PARTITION BY node, f, e ORDER BY key, bin ROWS UNBOUNDED PRECEDING)),
+s{level} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, place, e DESC) AS choice
+ FROM (SELECT *, round({gain('yl', 'pl')} + {gain('(ya - yl)', '(pa - pl)')} - {gain('ya', 'pa')}, 6) AS gain
+  FROM r{level} JOIN a{level} USING (node) WHERE nl >= 50 AND na - nl >= 50 AND (NOT is_set OR place <= 32)) g WHERE gain > 0) c WHERE choice = 1),
+node{level + 1} AS MATERIALIZED (SELECT n.y, n.p, n.b, CASE WHEN s.node IS NULL THEN -1 ELSE 2 * n.node + CASE WHEN l THEN 1 ELSE 2 END END AS node,
+ CASE WHEN s.node IS NULL THEN n.step WHEN l THEN ln((yl + s) / (pl / 1000000.0::DOUBLE + s)) ELSE ln((ya - yl + s) / ((pa - pl) / 1000000.0::DOUBLE + s)) END AS step
+ FROM (SELECT n.*, s.node AS sn, CASE WHEN s.is_set THEN list_contains(s.levels, n.b[s.f + 1]) ELSE n.b[s.f + 1] <= s.bin END AS l
+  FROM node{level} n LEFT JOIN s{level} s USING (node)) n LEFT JOIN s{level} s ON s.node = n.sn)""")
+    # Hold-out rows go down the same splits.
+    parts.append(f"""t0 AS MATERIALIZED (SELECT h3_cell, date, base, {bins('test')} AS b, 0 AS node, 0.0::DOUBLE AS step FROM test, cuts)""")
+    for level in range(depth):
+        parts.append(f"""t{level + 1} AS MATERIALIZED (SELECT h3_cell, date, base, t.b, CASE WHEN s.node IS NULL THEN -1 ELSE 2 * t.tn + CASE WHEN l THEN 1 ELSE 2 END END AS node,
+ CASE WHEN s.node IS NULL THEN t.step WHEN l THEN ln((yl + s) / (pl / 1000000.0::DOUBLE + s)) ELSE ln((ya - yl + s) / ((pa - pl) / 1000000.0::DOUBLE + s)) END AS step
+ FROM (SELECT t.*, t.node AS tn, s.node AS sn, CASE WHEN s.is_set THEN list_contains(s.levels, t.b[s.f + 1]) ELSE t.b[s.f + 1] <= s.bin END AS l
+  FROM t{level} t LEFT JOIN s{level} s USING (node)) t LEFT JOIN s{level} s ON s.node = t.sn)""")
+    return ",\n".join(parts)
+
+
+TREE = {"trees": 1, "depth": 2, "learning_rate": 1.0, "feature_share": 1.0}
+
+
+@register("fit_demand_trees", "train test", _trees_sql(2) + f"""
+SELECT h3_cell, {DATE}, {fixed('exp(base + step)', 'prediction')} FROM t2""")
+def _(t):
+    rows = forecast.predict_counts(t.split[1], t.poisson_tree)
+    return dated(rounded(rows.select("h3_cell", "date", "prediction"), "prediction"))
+
+
+@register("feature_importance_trees", "train test", _trees_sql(2) + f"""
+SELECT feature, {fixed('coalesce(g, 0) / sum(g) OVER ()', 'importance')} FROM (
+ SELECT unnest({list(panel.FEATURES)}) AS feature, unnest(range({len(panel.FEATURES)})) AS f) n
+LEFT JOIN (SELECT f, sum(gain) AS g FROM (SELECT f, gain FROM s0 UNION ALL SELECT f, gain FROM s1) u GROUP BY f) x USING (f)""")
+def _(t):
+    return rounded(forecast.feature_importance(t.poisson_tree, t.split[0]), "importance")
+
+
+@register("grid_sweep_trees")
+def _(t):
+    train, test = (cut_lineage(part) for part in t.split)
+    grid = [{"trees": 4, "depth": 2}, {"trees": 4, "depth": 3, "min_rows": 30}]
+    tried = evaluate.grid_sweep(train, test, "trees", grid).tried
+    return t.spark.createDataFrame([(p["depth"], mae) for p, mae in tried], "depth int, mae double")
+
+
 @register("feature_importance")
 def _(t):
     return forecast.feature_importance(t.model, t.split[0])
