@@ -785,12 +785,76 @@ def _(t):
     return rounded(risk.standardise(risk.risk_features(t.scored)), *risk.FEATURES)
 
 
-@register("anomaly_score")
+_Z_SQL = """
+, f AS (SELECT hotspot_id, impact_score, severity_component, proximity_component, concentration_component, ln(1 + member_count) AS log_member_count FROM scored_cell),
+s AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in risk.FEATURES) + """ FROM f),
+z AS MATERIALIZED (SELECT hotspot_id, impact_score, [""" + ", ".join(
+    f"CASE WHEN s_{c} = 0 THEN 0 ELSE ({c} - m_{c}) / s_{c} END" for c in risk.FEATURES
+) + f"""] AS x, ('0x' || substr(md5('{risk.SEED}:' || hotspot_id), 1, 8))::BIGINT % {risk.PRIME} AS a,
+ ('0x' || substr(md5('{risk.SEED}:' || hotspot_id), 9, 8))::BIGINT % {risk.PRIME} AS b FROM f, s)"""
+
+
+def _forest_sql() -> str:
+    """Growing and walking the forest, a join for each level."""
+    def mean_path(n: str) -> str:
+        return f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * ({n} - 1) / {n} END"
+
+    def draw(first: int) -> str:
+        return f"('0x' || substr(md5('{risk.SEED}:' || tree || ':' || node), {first}, 8))::BIGINT % {risk.PRIME}"
+
+    sides = ", ".join(f"min(x[{i}])" for i in range(1, 6)), ", ".join(f"max(x[{i}])" for i in range(1, 6))
+    parts = [_Z_SQL.replace("z AS MATERIALIZED (", "z AS MATERIALIZED (SELECT * REPLACE (list_transform(x, lambda v: round(v * 1000000)) AS x) FROM (") + ")", f"""c AS MATERIALIZED (SELECT least(count(*), {risk.TREE_ROWS}) AS size FROM z),
+l0 AS MATERIALIZED (SELECT tree, x, 1::BIGINT AS node FROM (SELECT t AS tree, x, row_number() OVER (PARTITION BY t ORDER BY (a + t * b) % {risk.PRIME}, hotspot_id) AS rn
+ FROM z, range({risk.TREES}) r(t)) q, c WHERE rn <= size),
+w0 AS MATERIALIZED (SELECT hotspot_id, x, t AS tree, 1::BIGINT AS node FROM z, range({risk.TREES}) r(t))"""]
+    for level in range(8):
+        parts.append(f"""p{level} AS MATERIALIZED (SELECT tree, node, f, lo[f + 1] + (hi[f + 1] - lo[f + 1]) * (({draw(9)}) / {risk.PRIME}::DOUBLE) AS cut
+ FROM (SELECT *, o[({draw(1)}) % len(o) + 1] AS f FROM (SELECT *, list_filter([0, 1, 2, 3, 4], lambda i: lo[i + 1] < hi[i + 1]) AS o
+  FROM (SELECT tree, node, [{sides[0]}] AS lo, [{sides[1]}] AS hi FROM l{level} GROUP BY tree, node) m) n, c WHERE len(o) > 0 AND {level} < ceil(log2(size))) d)""")
+        for t, own in (("l", "tree, x"), ("w", "hotspot_id, x, tree")):
+            parts.append(f"""{t}{level + 1} AS MATERIALIZED (SELECT {own}, CASE WHEN f IS NULL THEN node ELSE 2 * node + CASE WHEN x[f + 1] > cut THEN 1 ELSE 0 END END AS node
+ FROM {t}{level} LEFT JOIN p{level} USING (tree, node))""")
+    parts.append(f"""e AS (SELECT tree, node, floor(log2(node)) + {mean_path('n')} AS path FROM (SELECT tree, node, count(*) AS n FROM l8 GROUP BY ALL) g),
+r AS MATERIALIZED (SELECT hotspot_id, pow(2.0, -(sum(path) / {risk.TREES}) / (SELECT {mean_path('size')} FROM c)) AS raw FROM w8 JOIN e USING (tree, node) GROUP BY hotspot_id)
+SELECT hotspot_id, CASE WHEN max(raw) OVER () = min(raw) OVER () THEN 0.0 ELSE round_even((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 4) END::DOUBLE AS anomaly_score FROM r""")
+    return ",\n".join(parts)
+
+
+def _kmeans_sql() -> str:
+    """Seeds by exponential races, then rounds of moving centres in one recursion."""
+    def distance(centre: str) -> str:
+        return " + ".join(f"(x[{i}] - {centre}[{i}]) * (x[{i}] - {centre}[{i}])" for i in range(1, 6))
+
+    def moved(k: int) -> str:
+        sums = ", ".join(f"(sum(x[{i}]) FILTER (g = {k}))::DOUBLE / count(*) FILTER (g = {k})" for i in range(1, 6))
+        return f"CASE WHEN count(*) FILTER (g = {k}) > 0 THEN [{sums}] ELSE any_value(c{k}) END AS c{k}"
+
+    draw = f"(a + (3 * start + {{no}}) * b) % {risk.PRIME}"
+    wait = f"-ln(({draw} + 1) / {float(risk.PRIME + 1)}::DOUBLE) / d"
+    parts = [_Z_SQL, f"""pt AS MATERIALIZED (SELECT hotspot_id, impact_score, a, b, list_transform(x, lambda v: round(v * 1000000)::BIGINT) AS x FROM z),
+i0 AS MATERIALIZED (SELECT start, min({{'w': ({draw.format(no=0)})::DOUBLE, 'id': hotspot_id, 'x': x}}).x::DOUBLE[] AS c0 FROM pt, range({risk.RESTARTS}) q(start) GROUP BY start),
+i1 AS MATERIALIZED (SELECT start, any_value(c0) AS c0, min({{'w': {wait.format(no=1)}, 'id': hotspot_id, 'x': x}}).x::DOUBLE[] AS c1
+ FROM (SELECT *, {distance('c0')} AS d FROM pt, i0) q WHERE d > 0 GROUP BY start),
+i2 AS MATERIALIZED (SELECT start, any_value(c0) AS c0, any_value(c1) AS c1, min({{'w': {wait.format(no=2)}, 'id': hotspot_id, 'x': x}}).x::DOUBLE[] AS c2
+ FROM (SELECT *, least({distance('c0')}, {distance('c1')}) AS d FROM pt, i1) q WHERE d > 0 GROUP BY start),
+km AS (SELECT 0 AS i, start, c0, c1, c2 FROM i2 UNION ALL
+ SELECT i + 1, start, {moved(0)}, {moved(1)}, {moved(2)}
+ FROM (SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS g FROM (
+  SELECT km.*, x, {distance('c0')} AS d0, {distance('c1')} AS d1, {distance('c2')} AS d2 FROM km, pt WHERE i < {risk.ROUNDS}) m) v GROUP BY i, start),
+o AS MATERIALIZED (SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS g, least(d0, d1, d2) AS d FROM (
+ SELECT start, hotspot_id, impact_score, {distance('c0')} AS d0, {distance('c1')} AS d1, {distance('c2')} AS d2 FROM km, pt WHERE i = {risk.ROUNDS}) m),
+best AS (SELECT start FROM o GROUP BY start ORDER BY sum(round(d / 1000000)::BIGINT), start LIMIT 1),
+named AS (SELECT g, row_number() OVER (ORDER BY avg(impact_score) DESC, g) AS rank FROM o WHERE start = (SELECT start FROM best) GROUP BY g)
+SELECT hotspot_id, ['HIGH', 'MEDIUM', 'LOW'][rank] AS risk_tier FROM o JOIN named USING (g) WHERE start = (SELECT start FROM best)"""]
+    return ",\n".join(parts)
+
+
+@register("anomaly_score", "scored_cell", _forest_sql())
 def _(t):
     return risk.anomaly_scores(risk.standardise(risk.risk_features(t.scored)))
 
 
-@register("risk_tier")
+@register("risk_tier", "scored_cell", _kmeans_sql())
 def _(t):
     features = cut_lineage(risk.risk_features(t.scored))
     return risk.risk_tiers(features, risk.standardise(features))

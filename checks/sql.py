@@ -267,5 +267,5 @@ def query(needs: str, final: str) -> str:
     parts = ",\n".join(
         f"{n} AS {'' if n == 'reach' else 'MATERIALIZED'} ({CTES[n][1]})" for n in order
     )
-    recursive = "RECURSIVE " if "reach" in order else ""
+    recursive = "RECURSIVE " if "reach" in order or "UNION ALL\n SELECT i + 1" in final else ""
     return f"WITH {recursive}{parts}\n{final}"
