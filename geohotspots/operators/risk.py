@@ -171,12 +171,14 @@ def anomaly_scores(
     The forest has a bound, ``trees`` times twice ``TREE_ROWS`` nodes, whatever the number of
     hotspots; every row walks it in column functions.
     """
-    rows = cut_lineage(standardised)
+    # Every row walks all trees, so small tables, too, are dealt over all tasks.
+    parts = int(standardised.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(standardised.repartition(parts, "hotspot_id"))
     n = rows.count()
     size = min(TREE_ROWS, n)
     if size < 2:
         return rows.select("hotspot_id", F.lit(0.0).alias("anomaly_score"))
-    samples = tree_samples(rows, n, trees=trees, seed=seed)
+    samples = tree_samples(rows, n, trees=trees, seed=seed).repartition(min(parts, trees), "tree")
     grown = isolation_forest(samples, size, seed=seed).select(F.to_json("forest")).first()[0]
     forest = F.from_json(F.lit(grown), FOREST)
     height = math.ceil(math.log2(size))
