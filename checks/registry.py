@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,7 @@ from geohotspots.operators import (
 from geohotspots.plans import forecasting
 from geohotspots.plans import zones as zones_plan
 from geohotspots.session import cut_lineage, shared_dir
-from geohotspots.sources import readers, writers
+from geohotspots.sources import published, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -351,6 +352,23 @@ def _(t):
     return joined.fillna({"n_windows": 0})
 
 
+@register("read_published", "zones_cell scored_cell top_cell", f"""
+SELECT z.hotspot_id, z.global_rank, {fixed('s.impact_score', 'impact_score')}, count(w.hotspot_id) AS n_windows
+FROM zones_cell z JOIN scored_cell s USING (hotspot_id) LEFT JOIN top_cell w USING (hotspot_id)
+GROUP BY z.hotspot_id, z.global_rank, s.impact_score""")
+def _(t):
+    # The newest of two published sets, read back in one call.
+    done = zones_plan.ZoneTables(t.cells, t.activity, t.scored, t.profiles, t.windows, t.zones, False)
+    report, out = clean.ingestion_report(t.raw), _scratch(t, "published")
+    zones_plan.export_all(replace(done, zones=t.zones.limit(1)), report, out)
+    zones_plan.export_all(done, report, out)
+    newest = published.read_published(t.spark, out, with_risk=False)
+    counts = newest.peak_windows.groupBy("hotspot_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    impacts = newest.hotspots.select("hotspot_id", F.col("Congestion_Impact_Score").alias("impact_score"))
+    joined = newest.zones.select("hotspot_id", "global_rank").join(impacts, "hotspot_id").join(counts, "hotspot_id", "left")
+    return rounded(joined.fillna({"n_windows": 0}), "impact_score")
+
+
 @register("drop_private", "clean", "SELECT latitude, longitude, police_station FROM clean")
 def _(t):
     return writers.drop_private(
@@ -693,7 +711,7 @@ def _(t):
 
 @register("frequency", "hs_cell", "SELECT hotspot_id, member_count FROM hs_cell")
 def _(t):
-    return t.activity.groupBy("hotspot_id").agg(F.sum("n").alias("member_count"))
+    return spatial.summarise(t.activity, S.BOX).select("hotspot_id", "member_count")
 
 
 @register("persistence", "factors_cell", "SELECT hotspot_id, active_days FROM factors_cell")
@@ -708,9 +726,8 @@ def _(t):
 
 @register("default_as_of", "clean", "SELECT max(created_at) AS as_of FROM clean")
 def _(t):
-    latest = t.clean.agg(F.max("created_at").alias("as_of"))
-    as_of = F.coalesce("as_of", priority.instant(priority.DEFAULT_AS_OF))
-    return latest.select(wall_clock(as_of, "UTC").alias("as_of"))
+    as_of = priority.default_as_of(t.clean)
+    return t.spark.range(1).select(wall_clock(as_of, "UTC").alias("as_of"))
 
 
 @register("minmax", "factors_cell", f"SELECT hotspot_id, {fixed('frequency', 'frequency')}, {fixed('persistence', 'persistence')} FROM factors_cell")

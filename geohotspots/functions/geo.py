@@ -163,9 +163,9 @@ FIXED_UNITS = 10**8
 def fixed_sum(coordinate: str) -> Column:
     """Sum of a coordinate in whole units, so it does not depend on the order of the rows.
 
-    One group may have up to 5e8 rows; further sums of such sums are decimals.
+    It is a decimal of 28 digits: a whole number of 64 bits ends at 5e8 rows of a group.
     """
-    return F.sum(F.round(F.col(coordinate) * FIXED_UNITS).cast("bigint"))
+    return F.sum(F.round(F.col(coordinate) * FIXED_UNITS).cast("decimal(18,0)"))
 
 
 def fixed_mean(total: str, count: str = "n") -> Column:

@@ -55,18 +55,30 @@ def json_elements(c: Column) -> Column:
     the text must also parse both inside ``[...]`` and as an object member: what may
     follow a value in one place is an error in the other.
     """
-    text = trim_ws(c)
-    # Bare NaN and Infinity are no JSON; they stand for elements without a value.
-    bare = F.regexp_replace(text, r"(?<=[\[,\s])-?(NaN|Infinity)(?=\s*[,\]])", "null")
-    text = F.when(text.startswith("[") & F.try_parse_json(text).isNull(), bare).otherwise(text)
-    plain = F.instr(text, "]") == F.length(text)
-    one_value = (
-        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-        & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    )
-    elements = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
     empty = F.array().cast("array<variant>")
-    return F.coalesce(F.when(text.startswith("[") & (plain | one_value), elements), empty)
+
+    def listed(parsed: Column) -> Column:
+        text, value = parsed["text"], parsed["value"]
+        plain = F.instr(text, "]") == F.length(text)
+        one_value = (
+            F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+            & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+        )
+        return F.when(plain | one_value, F.try_variant_get(value, "$", "array<variant>"))
+
+    def parsed(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.try_parse_json(text).alias("value"))
+
+    def mended(parsed_text: Column) -> Column:
+        # Bare NaN and Infinity are no JSON; they stand for elements without a value.
+        bare = F.regexp_replace(parsed_text["text"], r"(?<=[\[,\s])-?(NaN|Infinity)(?=\s*[,\]])", "null")
+        return F.when(parsed_text["value"].isNull(), parsed(bare)).otherwise(parsed_text)
+
+    # Each step is bound once as the only element of an array, so a text is parsed once.
+    steps = F.filter(F.array(trim_ws(c)), lambda text: text.startswith("["))
+    for step in (parsed, mended, listed):
+        steps = F.transform(steps, step)
+    return F.coalesce(F.get(steps, F.lit(0)), empty)
 
 
 def json_string_array(c: Column) -> Column:

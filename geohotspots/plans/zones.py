@@ -15,6 +15,7 @@ from geohotspots.operators.risk import attach_risk, compute_risk
 from geohotspots.operators.spatial import assign_hotspots, summarise
 from geohotspots.session import cut_lineage, store
 from geohotspots.sources import writers
+from geohotspots.sources.published import publish
 from geohotspots.sources.readers import scan_csv
 
 
@@ -96,26 +97,25 @@ def zone_tables(
 def export_all(
     tables: ZoneTables, report: DataFrame, out_dir: str, *, single_file: bool = False
 ) -> dict[str, str]:
-    """Write every artifact below ``out_dir``; the committer makes each one atomic.
+    """Publish every artifact below ``out_dir`` as one set (:mod:`sources.published`): readers
+    see all of it or what was there before.
 
     All parts are written in parallel, hotspots as line-delimited GeoJSON. ``single_file``
     writes one file per artifact and adds the GeoJSON document.
     """
-    paths = {}
-    if single_file:
-        paths["geojson"] = writers.write_geojson_document(
-            tables.scored, f"{out_dir}/hotspots.geojson"
-        )
-    return paths | {
-        "csv": writers.write_priority_csv(
-            tables.zones, f"{out_dir}/priority_zones.csv", single_file=single_file
+    artifacts = {
+        "csv": lambda to: writers.write_priority_csv(
+            tables.zones, f"{to}/priority_zones.csv", single_file=single_file
         ),
-        "features": writers.write_geojson(tables.scored, f"{out_dir}/hotspots.geojsonl"),
-        "peak_windows": writers.write_peak_windows(
-            tables.windows, f"{out_dir}/peak_windows.json", single_file=single_file
+        "features": lambda to: writers.write_geojson(tables.scored, f"{to}/hotspots.geojsonl"),
+        "peak_windows": lambda to: writers.write_peak_windows(
+            tables.windows, f"{to}/peak_windows.json", single_file=single_file
         ),
-        "report": writers.write_ingestion_report(report, f"{out_dir}/ingestion_report.json"),
+        "report": lambda to: writers.write_ingestion_report(report, f"{to}/ingestion_report.json"),
     }
+    if single_file:
+        artifacts["geojson"] = lambda to: writers.write_geojson_document(tables.scored, f"{to}/hotspots.geojson")
+    return publish(report.sparkSession, out_dir, artifacts)
 
 
 def run(

@@ -127,3 +127,13 @@ def flatten_peak_windows(
         )
     )
     return _window_rows(parsed.select("hotspot_id", F.inline("windows")))
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """``metric, n`` of an ingestion report: the totals and the drops by reason."""
+    totals = ("total_rows_read", "rows_retained", "total_dropped")
+    schema = ", ".join(f"{c} long" for c in totals) + ", dropped_by_reason map<string,long>"
+    document = spark.read.schema(schema).json(path)
+    sums = F.map_from_arrays(F.array(*map(F.lit, totals)), F.array(*totals))
+    reasons = F.coalesce("dropped_by_reason", F.create_map().cast("map<string,bigint>"))
+    return document.select(F.explode(F.map_concat(sums, reasons)).alias("metric", "n"))

@@ -2,6 +2,7 @@
 
 import csv
 import json
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from checks.tables import clean_rows, raw_rows
 from geohotspots.operators import clean
 from geohotspots.plans import zones as plan
-from geohotspots.sources import readers, writers
+from geohotspots.sources import published, readers, writers
 
 SF = "/root/testdata/sf0.001"
 PRIVATE = ("vehicle_number", "updated_vehicle_number")
@@ -109,3 +110,43 @@ def test_run_keeps_the_callers_cells_and_order(spark, tmp_path):
     )
     cells = {r["h3_cell"] for r in found.tables.scored.collect()}
     assert cells and all(c.startswith("mine") for c in cells)
+
+
+def test_a_failed_writer_leaves_the_old_set(spark, done, tmp_path):
+    out = str(tmp_path / "live")
+    tables, report = done.tables, clean.ingestion_report(raw_rows(spark, SF))
+    with pytest.raises(FileNotFoundError):
+        published.resolve(spark, out)
+    first = plan.export_all(tables, report, out)
+    zones = tables.zones
+    held = published.read_published(spark, out)
+
+    def broken(folder):
+        raise RuntimeError("disk full")
+
+    half = {"csv": lambda to: writers.write_priority_csv(zones.limit(1), f"{to}/priority_zones.csv"), "report": broken}
+    with pytest.raises(RuntimeError, match="disk full"):
+        published.publish(spark, out, half)
+    assert published.resolve(spark, out) == first
+    again = published.read_published(spark, out)
+    assert again.zones.count() == zones.count() and again.hotspots.count() == tables.scored.count()
+    assert again.peak_windows.count() == tables.windows.count()
+    totals = {r.metric: r.n for r in again.report.collect()}
+    assert totals["rows_retained"] == 941 and totals["invalid_geo"] == 37
+
+    fewer = replace(tables, zones=zones.filter("global_rank <= 3"))
+    second = plan.export_all(fewer, report, out)
+    assert published.resolve(spark, out) == second and second != first
+    assert published.read_published(spark, out).zones.count() == 3
+    # Who resolved the first set before still reads it whole.
+    assert held.zones.count() == zones.count()
+
+
+def test_two_publishers_at_once_agree_on_one_set(spark, tmp_path):
+    out = str(tmp_path / "both")
+    write = lambda to: f"{to}/x"
+    published.publish(spark, out, {"x": write})
+    line = spark.read.schema(published.MANIFEST).json(f"{out}/manifest").first()
+    rival = [(line["sequence"], "0" * 32, {"x": "versions/rival/x"})]
+    spark.createDataFrame(rival, published.MANIFEST).write.mode("append").json(f"{out}/manifest")
+    assert published.resolve(spark, out)["x"].split("/")[-2] == line["version"]
