@@ -147,14 +147,17 @@ def isolation_forest(samples: DataFrame, size: int, *, seed: int = SEED) -> Data
     trees = leaves.select("tree", F.inline(F.concat(inner, ends))).distinct().groupBy("tree").agg(
         F.map_from_entries(F.collect_list(F.struct("node", F.struct("feature", "cut", "value")))).alias("nodes")
     )
+    found = F.transform(
+        F.sequence(F.lit(1), F.lit(2 ** (height + 1) - 1)), lambda k: F.try_element_at("nodes", k)
+    )
     nodes = F.transform(
-        F.sequence(F.lit(1), F.lit(2 ** (height + 1) - 1)),
-        lambda k: F.when(
-            F.col("nodes")[k].isNotNull(),
+        found,
+        lambda node, i: F.when(
+            node.isNotNull(),
             F.struct(
-                F.col("nodes")[k]["feature"].alias("feature"), F.col("nodes")[k]["cut"].alias("cut"),
-                F.lit(None).cast("array<int>").alias("levels"), (2 * k - 1).alias("left"), (2 * k).alias("right"),
-                F.col("nodes")[k]["value"].alias("value"),
+                node["feature"].alias("feature"), node["cut"].alias("cut"),
+                F.lit(None).cast("array<int>").alias("levels"), (2 * i + 1).alias("left"), (2 * i + 2).alias("right"),
+                node["value"].alias("value"),
             ),
         ),
     )
