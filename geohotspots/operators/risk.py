@@ -124,7 +124,9 @@ def isolation_forest(samples: DataFrame, size: int, *, seed: int = SEED) -> Data
             {"lo": F.array(*[F.min(F.get("x", F.lit(i))).over(here) for i in places]),
              "hi": F.array(*[F.max(F.get("x", F.lit(i))).over(here) for i in places])}
         )
-        differing = F.filter(F.array(*map(F.lit, places)), lambda i: F.get("lo", i) < F.get("hi", i))
+        differing = F.array_compact(
+            F.array(*[F.when(F.get("lo", F.lit(i)) < F.get("hi", F.lit(i)), F.lit(i)) for i in places])
+        )
         code = F.md5(F.concat_ws(":", F.lit(str(seed)), "tree", "node").cast("binary"))
         chosen = ranged.withColumn("open", differing).withColumn(
             "f", F.when(F.size("open") > 0, F.get("open", _hex_number(code, 1) % F.size("open")))
