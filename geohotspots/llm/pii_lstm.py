@@ -1,23 +1,27 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with a CRF on top.
 
-The patterns give the base spans, which always stay. The network is trained in numpy on
-base spans as labels and adds spans where it reads one that the patterns do not. Every span
-of the four kinds has a digit or an @, so a stretch of text without one near is outside all
-spans by definition; the stretches around such characters are read in overlapping windows,
-each character takes its scores from the window that sees most around it, and one decoding
-over the whole stretch reconciles them.
+The patterns give the base spans, which always stay. The network is trained in numpy on the
+training texts, once as they are with base spans as labels, and with findings altered so that
+no pattern covers them (see ``altered``) as labels; it adds spans where it reads one that the
+patterns do not. Every span of the four kinds has a digit, an @ or a bracketed at, so a stretch
+of text without one near is outside all spans by definition; the stretches around such
+characters are read in overlapping windows, each character takes its scores from the window
+that sees most around it, and one decoding over the whole stretch reconciles them. What the
+network adds must have the numbers of its kind (:func:`plausible`).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geohotspots.llm import altered
 from geohotspots.llm.common import found_sample, struct_udf
 
 KINDS = ("email", "ip", "card", "phone")
@@ -27,13 +31,20 @@ WINDOW, STEP, AROUND = 96, 48, 24
 HIDDEN, EMBED = 16, 12
 #: Windows that go through the network together.
 WINDOWS_AT_ONCE = 512
+#: Training steps of 64 windows.
+STEPS = 300
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]+")
+_AT = r"[\[(]\x20?(?:at|AT)\x20?[\])]"
+_ANCHOR = re.compile(rf"[0-9@]+|{_AT}")
+_ADDRESS = re.compile(rf"(?:@|{_AT}).*(?:[.,]|dot|DOT)", re.DOTALL)
+_NUMBER = re.compile(r"[0-9]+")
+#: Altered copies of a training text.
+ALTERED_COPIES = 3
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -89,6 +100,21 @@ def span_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
+def plausible(kind: int, value: str) -> bool:
+    """Whether a span that the network reads has the parts of its kind: a sign for at and one
+    for a dot; four numbers up to 255; 13 to 19 digits that pass Luhn; 9 to 15 digits. A letter
+    O counts as 0."""
+    if kind == 0:
+        return bool(_ADDRESS.search(value))
+    if kind == 1:
+        parts = [p.lstrip("0") for p in _NUMBER.findall(value)]
+        return len(parts) == 4 and all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
+    found = _digits(value.replace("O", "0").replace("o", "0"))
+    if kind == 2:
+        return 13 <= len(found) <= 19 and luhn(found)
+    return 9 <= len(found) <= 15
+
+
 def _class_table() -> np.ndarray:
     """Character class of every code point below 256; the rest is class 1 or 2."""
     table = np.full(257, 1, np.int64)
@@ -333,7 +359,7 @@ def window_plan(length: int):
 
 
 def stretches_of(text: str) -> list[tuple[int, int]]:
-    """Parts of the text within ``AROUND`` characters of a digit or @, merged."""
+    """Parts of the text within ``AROUND`` characters of a digit, @ or bracketed at, merged."""
     out: list[list[int]] = []
     for m in _ANCHOR.finditer(text):
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
@@ -357,12 +383,41 @@ def tag_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in out]
 
 
-def labelled_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows over the stretches of ``texts`` with the tags of their base spans."""
+def altered_text(text: str, copy: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its base spans replaced by altered findings and by plain numbers.
+
+    Each place gets a finding of any kind (an address only where the text has one) or, one time
+    in four, a number that is none. Returns the new text and the spans written into it, without
+    those that a pattern still covers in part. It depends on the text and ``copy`` alone.
+    """
+    rng = np.random.default_rng([zlib.crc32(text.encode("utf-8", "surrogatepass")), copy])
+    base = sorted((s, e) for _, s, e in base_spans(text))
+    places = [p for p, before in zip(base, [(0, 0), *base]) if before[1] <= p[0]]
+    addresses = [text[s:e] for k, s, e in base_spans(text) if k == 0]
+    kinds = range(0 if addresses else 1, len(KINDS))
+    drawn_kinds = [altered.one_of(rng, kinds) for _ in places]
+
+    def drawn(no: int):
+        if rng.random() < 0.25:
+            return altered.no_person(rng), None
+        kind = drawn_kinds[no]
+        value = altered.PERSONAL[kind](rng, altered.one_of(rng, addresses) if kind == 0 else "")
+        return value, (0, len(value))
+
+    new, spans = altered.rewritten(text, places, drawn)
+    taken = altered.Taken([(s, e) for _, s, e in base_spans(new)])
+    return new, [(drawn_kinds[no], s, e) for no, s, e in spans if not taken.touches(s, e)]
+
+
+def labelled_windows(texts: list[str], copies: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Windows over the stretches of ``texts`` with the tags of their base spans, and of as many
+    altered ``copies`` of each text with the tags of altered and base spans."""
     rows, tags = [], []
-    for text in texts:
+    labelled = [(text, []) for text in texts]
+    labelled += [altered_text(text, c) for c in range(copies) for text in texts if base_spans(text)]
+    for text, extra in labelled:
         y = np.zeros(len(text), np.int64)
-        for k, s, e in reversed(base_spans(text)):
+        for k, s, e in reversed(base_spans(text) + extra):
             y[s:e] = 2 + 2 * k
             y[s] = 1 + 2 * k
         for a, b in stretches_of(text):
@@ -390,22 +445,24 @@ def train(docs: DataFrame, sample: int = TRAINING_DOCS) -> Tagger | None:
     driver: up to 20,000 characters.
     """
     usable = docs.select("text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    windows, tags = labelled_windows(found_sample(usable, base_spans, sample, sample // 4))
-    return Tagger.fresh().train(windows, tags) if tags.any() else None
+    texts = found_sample(usable, base_spans, sample, sample // 4)
+    windows, tags = labelled_windows(texts, ALTERED_COPIES)
+    return Tagger.fresh().train(windows, tags, STEPS) if tags.any() else None
 
 
 def find(texts: list[str], tagger: Tagger | None) -> dict:
     """Base spans of each text, and all spans with those that the network adds.
 
-    An added span has at least eight characters, a digit or @ in it, and overlaps no base span.
+    An added span is plausible for its kind, has at least seven characters and overlaps no
+    base span.
     """
     base = [base_spans(t) for t in texts]
     added: list[list] = [[] for _ in texts]
     if tagger is not None:
         for no, found in enumerate(tagger.spans(texts)):
+            taken = altered.Taken([(s, e) for _, s, e in base[no]])
             for k, s, e in found:
-                whole = e - s >= 8 and _ANCHOR.search(texts[no], s, e)
-                if whole and not any(s < f and b < e for _, b, f in base[no]):
+                if e - s >= 7 and plausible(k, texts[no][s:e]) and not taken.touches(s, e):
                     added[no].append((k, s, e))
     counts = {f"n_{kind}": [sum(k == no for k, _, _ in b) for b in base] for no, kind in enumerate(KINDS)}
     return counts | {

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from geohotspots.llm import common, pii_lstm, secret_cnn
+from geohotspots.llm import altered, common, pii_lstm, secret_cnn
 
 TRICKY = [
     "a@b@c.de x.y+z@d-e.f.g, @no.pe q@r a@b.c_d@e.f 1@2.3",
@@ -127,6 +127,85 @@ def test_networks_find_spans_of_held_out_text(texts):
     assert (chance[hy == 1] >= net.threshold).mean() > 0.9 and (chance[hy == 0] < net.threshold).mean() > 0.8
 
 
+def test_altered_findings_of_held_out_text_come_from_the_network(texts):
+    """No pattern covers them, so all of them are the network's, and precision counts all it adds."""
+    short = [t for t in texts if len(t) <= 20_000]
+    half = len(short) // 2
+    sample = [t for t in short[:half] if pii_lstm.base_spans(t)][:500]
+    sample += [t for t in short[:half] if not pii_lstm.base_spans(t)][:125]
+    tagger = pii_lstm.Tagger.fresh().train(
+        *pii_lstm.labelled_windows(sample, pii_lstm.ALTERED_COPIES), pii_lstm.STEPS
+    )
+    held = [pii_lstm.altered_text(t, 99) for t in short[half:] if pii_lstm.base_spans(t)]
+    want = [set(filter(None, pii_lstm.span_text(spans).split(","))) for _, spans in held]
+    base = [set(filter(None, pii_lstm.span_text(pii_lstm.base_spans(t)).split(","))) for t, _ in held]
+    assert sum(map(len, want)) > 150 and not any(w & b for w, b in zip(want, base))
+    found = pii_lstm.find([t for t, _ in held], tagger)
+    added = [set(filter(None, f.split(","))) - b for f, b in zip(found["spans"], base)]
+    hit = sum(len(a & w) for a, w in zip(added, want))
+    assert hit / sum(map(len, want)) > 0.85 and hit / sum(map(len, added)) > 0.95
+    assert sum(pii_lstm.find([t for t, _ in held], None)["n_added"]) == 0
+    clean = [t for t in short[half:] if not pii_lstm.base_spans(t)]
+    assert sum(pii_lstm.find(clean, tagger)["n_added"]) <= len(clean) // 50
+
+
+def test_altered_secrets_of_held_out_text_come_from_the_network(texts):
+    short = [t for t in texts if len(t) <= 20_000]
+    half = len(short) // 2
+    sample = [t for t in short[:half] if secret_cnn.base_spans(t)][:750]
+    sample += [t for t in short[:half] if not secret_cnn.base_spans(t)][:750]
+    net = secret_cnn.SecretNet.fresh().fit(
+        *secret_cnn.labelled_candidates(sample, secret_cnn.ALTERED_COPIES), secret_cnn.STEPS
+    )
+    held = [secret_cnn.altered_text(t, 99) for t in short[half:] if secret_cnn.base_spans(t)]
+    found = secret_cnn.find([t for t, _ in held], net)["spans"]
+    want = hit = got = good = 0
+    for (text, keys), spans in zip(held, found):
+        read = [tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x.startswith("model")]
+        common_part = lambda p, q: min(p[1], q[1]) - max(p[0], q[0]) >= 12
+        want, got = want + len(keys), got + len(read)
+        hit += sum(any(common_part(k, r) for r in read) for k in keys)
+        good += sum(any(common_part(k, r) for k in keys) for r in read)
+        assert not any(s < b and a < e for a, _, b in secret_cnn.base_spans(text) for s, e in keys)
+    assert want > 200 and hit / want > 0.9 and good / got > 0.85
+    clean = [t for t in short[half:] if not secret_cnn.base_spans(t)]
+    assert sum(secret_cnn.find(clean, net)["n_added"]) <= len(clean) // 50
+
+
+def test_plausible_values():
+    ok = pii_lstm.plausible
+    assert ok(0, "a.b(at)c.de") and ok(0, "a [at] b [dot] com") and not ok(0, "a@b") and not ok(0, "a.b.c")
+    assert ok(1, "1[.]2[.]3[.]255") and not ok(1, "1[.]2[.]3[.]256") and not ok(1, "1.2.3")
+    assert ok(2, "4111/1111/1111/1111") and not ok(2, "4111/1111/1111/1112") and ok(2, "4OOO OOOO OOOO OOO2")
+    assert ok(3, "(415) 555-0100") and not ok(3, "2024-01-02") and not ok(3, "1" * 16)
+
+
+def test_altered_texts_carry_their_offsets():
+    rng = np.random.default_rng(4)
+    text, spans = altered.rewritten("aa bb cc", [(3, 5), (0, 2)], lambda no: (("XYZ", (1, 3)) if no else ("q", None)))
+    assert text == "XYZ q cc" and spans == [(1, 1, 3)]
+    assert all(pii_lstm.luhn(altered.luhn_number(rng, n)) for n in range(13, 20) for _ in range(5))
+    for value in (altered.email(rng, "a.b1@c2.example.com") for _ in range(50)):
+        assert pii_lstm.plausible(0, value)
+    for kind in (1, 2, 3):
+        assert all(pii_lstm.plausible(kind, altered.PERSONAL[kind](rng, "")) for _ in range(50))
+    for text in TRICKY:
+        assert pii_lstm.altered_text(text, 1) == pii_lstm.altered_text(text, 1)
+        for module in (pii_lstm, secret_cnn):
+            new, spans = module.altered_text(text, 2)
+            assert all(0 <= s[-2] < s[-1] <= len(new) for s in spans)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_taken_places(seed):
+    rng = np.random.default_rng(seed)
+    spans = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 100, 12), rng.integers(1, 15, 12))]
+    taken = altered.Taken(spans)
+    for s in range(115):
+        for e in (s + 1, s + 7):
+            assert taken.touches(s, e) == any(s < f and b < e for b, f in spans)
+
+
 def test_odd_rows(odd_docs, no_docs, small):
     tagger, net = pii_lstm.train(small["documents"]), secret_cnn.train(small["documents"])
     texts = sorted(((r["doc_id"], r["text"] or "") for r in odd_docs.select("doc_id", "text").collect()), key=str)
