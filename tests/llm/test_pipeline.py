@@ -7,10 +7,12 @@ import pytest
 from test_decontaminate import q as seeds
 from test_line_dedup import brute_surplus
 from test_near_documents import brute_components
+from test_pfair_mix import brute, furthest, whole
 
 import __spark_entry__
 import corpus_pipeline
 from geohotspots.llm import quality_crf
+from geohotspots.llm.pfair_mix import NO_SOURCE
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,15 +89,14 @@ def test_mixing(stages):
     before, after = stages[4]
     assert Counter(map(str, ids(before))) == Counter(str(r["doc_id"]) for r in after)
     assert len({r["mix_position"] for r in after}) == len(after)
-    # Square roots of the sources' rows: no source is a block ahead of its share of a cycle.
+    # Weights are square roots of the sources' rows.
     sizes = Counter(r["source"] for r in before)
-    blocks = Counter({s: -(-n // 4) for s, n in sizes.items()})
-    seen, total = Counter(), sum(blocks.values())
-    slots = sorted({(r["mix_slot"], r["source"]) for r in after})
-    assert [s for s, _ in slots] == list(range(total))
-    for t, (_, source) in enumerate(slots, 1):
-        seen[source] += 1
-        assert all(abs(seen[s] - t * n / total) < 1 for s, n in blocks.items())
+    blocks = {s or NO_SOURCE: -(-n // 4) for s, n in sizes.items()}
+    weights = whole({s or NO_SOURCE: n**0.5 for s, n in sizes.items()})
+    slots = sorted({(r["mix_slot"], r["source"] or NO_SOURCE) for r in after})
+    assert [t for t, _ in slots] == list(range(sum(blocks.values())))
+    assert [s for _, s in slots] == brute(blocks, weights)
+    assert furthest([s for _, s in slots], blocks, weights) < 1
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
