@@ -31,7 +31,7 @@ from geohotspots.operators import (
     serving,
     spatial,
 )
-from geohotspots.plans import forecasting
+from geohotspots.plans import forecasting, ingest
 from geohotspots.plans import zones as zones_plan
 from geohotspots.session import cut_lineage, shared_dir
 from geohotspots.sources import published, readers, writers
@@ -369,6 +369,31 @@ def _(t):
     return rounded(joined.fillna({"n_windows": 0}), "impact_score")
 
 
+def _increments(t: Tables) -> str:
+    """State folder of three increments of the raw rows, in their order."""
+    state = _scratch(t, "state")
+    ends = t.raw.agg(F.max("read_order")).first()[0]
+    for no in range(3):
+        third = F.floor(F.col("read_order") * 3 / (ends + 1)) == no
+        ingest.ingest_increment(t.raw.filter(third), state, f"increment-{no}")
+    return state
+
+
+@register("ingest_increments", "clean", "SELECT id, latitude, longitude, police_station FROM clean")
+def _(t):
+    events = ingest.accepted_events(t.spark, _increments(t))
+    return events.select("id", "latitude", "longitude", "police_station")
+
+
+@register("ingest_increments_report", "tagged ranked", """
+SELECT (SELECT count(*) FROM tagged) AS total_rows_read, (SELECT count(*) FROM ranked WHERE rn = 1) AS rows_retained,
+ (SELECT count(*) FROM tagged WHERE reject_reason = 'invalid_geo') AS invalid_geo""")
+def _(t):
+    report = ingest.accepted_report(t.spark, _increments(t))
+    names = ("total_rows_read", "rows_retained", "invalid_geo")
+    return report.agg(*[F.max(F.when(F.col("metric") == m, F.col("n"))).alias(m) for m in names])
+
+
 @register("drop_private", "clean", "SELECT latitude, longitude, police_station FROM clean")
 def _(t):
     return writers.drop_private(
