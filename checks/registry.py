@@ -379,7 +379,10 @@ def _increments(t: Tables) -> str:
     return state
 
 
-@register("ingest_increments", "clean", "SELECT id, latitude, longitude, police_station FROM clean")
+@register("ingest_increments", "ranked", r"""
+SELECT id, lat AS latitude, lon AS longitude,
+ CASE WHEN police_station = 'NULL' THEN '' ELSE regexp_replace(trim(police_station), '\s+', ' ', 'g') END AS police_station
+FROM ranked WHERE rn = 1""")
 def _(t):
     events = ingest.accepted_events(t.spark, _increments(t))
     return events.select("id", "latitude", "longitude", "police_station")
