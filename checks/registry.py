@@ -31,7 +31,7 @@ from geohotspots.operators import (
     serving,
     spatial,
 )
-from geohotspots.plans import forecasting, ingest
+from geohotspots.plans import activity_state, forecasting, ingest
 from geohotspots.plans import zones as zones_plan
 from geohotspots.session import cut_lineage, shared_dir
 from geohotspots.sources import published, readers, writers
@@ -397,6 +397,42 @@ def _(t):
     return report.agg(*[F.max(F.when(F.col("metric") == m, F.col("n"))).alias(m) for m in names])
 
 
+def _activity_state(t: Tables) -> str:
+    """State folder of three increments of the clean events, the first two compacted."""
+    state = _scratch(t, "activity")
+    for no in range(3):
+        part = t.clean.filter(F.col("read_order") % 3 == no)
+        activity_state.add_activity(activity_state.cell_hotspots(part), state, f"part-{no}", buckets=8)
+        if no == 1:
+            activity_state.compact(t.spark, state)
+    return state
+
+
+@register("activity_state", "ev_cell weights", f"""
+SELECT hotspot_id, police_station, CAST(CAST(created_local AS DATE) AS VARCHAR) AS local_date,
+ CAST(hour(created_local) AS INTEGER) AS hour, count(*) AS n,
+ CAST(sum(round(latitude * 100000)) AS BIGINT) AS sum_lat, CAST(sum(round(longitude * 100000)) AS BIGINT) AS sum_lon,
+ max(coalesce((SELECT max(weight) FROM weights WHERE list_contains(violation_type, token)), 0))::DOUBLE AS severity,
+ CAST(sum(CASE WHEN (junction_name IS NOT NULL AND trim(junction_name) <> '')
+  OR list_has_any(violation_type, ['PARKING NEAR ROAD CROSSING', 'PARKING NEAR JUNCTION',
+   'NO STOPPING ON ROAD', 'WRONG PARKING ON CARRIAGEWAY']) THEN 1 ELSE 0 END) AS BIGINT) AS near,
+ epoch_us(max(created_at)) AS last_us
+FROM ev_cell GROUP BY hotspot_id, police_station, CAST(created_local AS DATE), hour(created_local)""")
+def _(t):
+    merged = activity_state.merged_activity(t.spark, _activity_state(t))
+    return dated(merged, "local_date").select(
+        "hotspot_id", "police_station", "local_date", "hour", "n",
+        *[(F.col(c) / 1000).cast("bigint").alias(c) for c in ("sum_lat", "sum_lon")],
+        "severity", "near", F.unix_micros("last_at").alias("last_us"),
+    )
+
+
+@register("zones_from_state", "zones_cell", f"SELECT {ZONE_SQL} FROM zones_cell")
+def _(t):
+    derived = activity_state.zones_from_state(t.spark, _activity_state(t), with_risk=False)
+    return _zone_rows(derived.zones)
+
+
 @register("drop_private", "clean", "SELECT latitude, longitude, police_station FROM clean")
 def _(t):
     return writers.drop_private(

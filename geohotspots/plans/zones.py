@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +29,10 @@ EVENT_COLUMNS = (
 
 @dataclass(frozen=True)
 class ZoneTables:
-    """Tables of a run, all but ``assigned`` of hotspot size."""
+    """Tables of a run, all but ``assigned`` of hotspot size. Zones that come from stored
+    activity have no assigned events."""
 
-    assigned: DataFrame
+    assigned: DataFrame | None
     activity: DataFrame
     scored: DataFrame
     profiles: DataFrame
@@ -78,7 +79,33 @@ def zone_tables(
         order_by=order_by,
         bbox=bbox,
     )
-    activity = cut_lineage(hotspot_activity(assigned.events))
+    tables = derive_tables(
+        cut_lineage(hotspot_activity(assigned.events)),
+        bbox=bbox,
+        weights=weights,
+        config=config,
+        top_k_peaks=top_k_peaks,
+        signal=signal,
+        with_risk=with_risk,
+        seed=seed,
+    )
+    return replace(tables, assigned=assigned.events, used_dbscan=assigned.used_dbscan)
+
+
+def derive_tables(
+    activity: DataFrame,
+    *,
+    bbox: BoundingBox = BoundingBox(),
+    weights: ImpactWeights = ImpactWeights(),
+    config: PriorityConfig = PriorityConfig(),
+    top_k_peaks: int = 3,
+    signal: DataFrame | None = None,
+    with_risk: bool = True,
+    seed: int = SEED,
+) -> ZoneTables:
+    """Everything a run derives from a stored activity table; no event is read."""
+    weights.validate()
+    config.validate()
     scored = cut_lineage(
         score_impact(summarise(activity, bbox), activity, weights, signal=signal)
     )
@@ -89,9 +116,7 @@ def zone_tables(
         risk = cut_lineage(compute_risk(scored, seed=seed))
         scored, zones = attach_risk(scored, risk), attach_risk(zones, risk)
     zones = cut_lineage(peaks.attach_peaks(zones, windows))
-    return ZoneTables(
-        assigned.events, activity, scored, profiles, windows, zones, assigned.used_dbscan
-    )
+    return ZoneTables(None, activity, scored, profiles, windows, zones, False)
 
 
 def export_all(
