@@ -69,12 +69,22 @@ def _count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def _neighbours_equal(sorted_list: Column, part) -> Column:
+    """Members of a sorted list whose ``part`` is that of the member before or after them."""
+    return F.filter(
+        sorted_list,
+        lambda x, i: (part(x) == part(F.get(sorted_list, i + 1))) | (part(x) == part(F.get(sorted_list, i - 1))),
+    )
+
+
+def measure(docs: DataFrame, text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """``docs`` with the measurements that rules refer to; same-named columns are replaced.
 
     Words are runs of characters other than space and U+0009 to U+000D. Null and empty texts
     measure zero everywhere. ``n_dup_lines`` counts lines with a word that equal an earlier
-    one, ``n_repeat_words`` the words in three-word windows found at least twice.
+    one, ``n_repeat_words`` the words in three-word windows found at least twice. Windows are
+    found by their hashes, of which the first ``hash_bits`` are used, and compared by words;
+    results do not depend on the hash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = F.filter(F.split(text, _BREAK, -1), lambda w: w != "")
@@ -87,8 +97,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # A window's hash keeps its high bits and gives the low ones to its place, so one sort of
     # plain numbers brings equal windows together with their places. The low bits are as
     # many as the text's length needs.
-    frame = frame.withColumn("low", F.expr("shiftleft(1L, cast(ceil(log2(n + 1)) as int)) - 1"))
-    words, low, packed = F.col("words"), F.col("low"), F.col("packed")
+    frame = frame.withColumn(
+        "low",
+        F.greatest(F.expr("shiftleft(1L, cast(ceil(log2(n + 1)) as int)) - 1"), F.lit((1 << (64 - hash_bits)) - 1)),
+    )
+    words, low, packed, hits = F.col("words"), F.col("low"), F.col("packed"), F.col("hits")
 
     def window(i: Column) -> Column:
         code = F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
@@ -100,11 +113,30 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def high(x: Column) -> Column:
         return x.bitwiseAND(F.bitwise_not(low))
 
-    repeated = F.filter(
-        packed,
-        lambda x, i: (high(x) == high(F.get(packed, i + 1))) | (high(x) == high(F.get(packed, i - 1))),
+    def word(x: Column, k: int) -> Column:
+        return F.get(words, x.bitwiseAND(low).cast("int") + k)
+
+    def other_words(x: Column, y: Column) -> Column:
+        return (word(x, 0) != word(y, 0)) | (word(x, 1) != word(y, 1)) | (word(x, 2) != word(y, 2))
+
+    frame = frame.withColumn("hits", _neighbours_equal(packed, high))
+    # Where unlike windows share a hash, two of them are neighbours. The windows of such a
+    # text, a rare one, are sorted by their words; no word has a space in it.
+    clashes = F.filter(
+        hits, lambda x, i: (high(x) == high(F.get(hits, i + 1))) & other_words(x, F.get(hits, i + 1))
     )
-    frame = frame.withColumn("places", F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(low))))
+    frame = frame.withColumn("clash", F.size(clashes) > 0)
+
+    def spelled(i: Column) -> Column:
+        joined = F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+        return F.struct(joined.alias("words"), i.cast("long").alias("place"))
+
+    frame = frame.withColumn("spelled", F.when(F.col("clash"), F.sort_array(F.transform(places, spelled))))
+    found = F.when(
+        F.col("clash"),
+        F.transform(_neighbours_equal(F.col("spelled"), lambda x: x["words"]), lambda x: x["place"]),
+    ).otherwise(F.transform(hits, lambda x: x.bitwiseAND(low)))
+    frame = frame.withColumn("places", F.sort_array(found))
     covered = F.aggregate(
         F.col("places"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),

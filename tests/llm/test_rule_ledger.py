@@ -1,6 +1,9 @@
+import random
 import re
 from collections import Counter
 
+import pytest
+
 from geohotspots.llm import rule_ledger as q
 
 
@@ -29,6 +32,20 @@ def test_equals_brute_force(odd_docs, no_docs, small):
     assert q.verdicts(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 4, 8, 12])
+def test_equal_hashes_of_unlike_windows(spark, odd_docs, small, bits):
+    draw = random.Random(bits)
+    made = [
+        (i, " ".join(draw.choice(["a", "b", "c", "a b", "\u00e9", "dd"]) for _ in range(draw.randrange(0, 90))))
+        for i in range(60)
+    ]
+    for docs in (odd_docs, small["documents"].limit(80), spark.createDataFrame(made, "doc_id long, text string")):
+        rows = q.measure(docs.select("doc_id", "text"), hash_bits=bits).collect()
+        assert rows
+        for r in rows:
+            assert r["n_repeat_words"] == brute(r["text"])[4]
+
+
 def test_other_columns_stay(odd_docs):
     out = q.ledger(odd_docs)
     replaced = {"fail_bits", "n_words"}
