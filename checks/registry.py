@@ -605,9 +605,7 @@ JOIN pts b ON b.latitude BETWEEN a.latitude - 0.001 AND a.latitude + 0.001
  AND b.longitude BETWEEN a.longitude - 0.001 AND a.longitude + 0.001
 WHERE {S._DIST} <= {S.d(S.EPS_M)} GROUP BY a.latitude, a.longitude""")
 def _(t):
-    points = dbscan.weighted_points(t.clean, S.GRID, "read_order")
-    cells = dbscan.subcells(points, S.GRID, S.MIN_SAMPLES)
-    sized = dbscan.sized_points(points, cells)
+    sized, cells = dbscan.density(t.clean, S.GRID, S.MIN_SAMPLES, "read_order")
     hits = dbscan.sparse_neighbour_counts(sized, cells, S.GRID)
     return hits.groupBy(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).agg(
         F.sum("hits").alias("neighbours")

@@ -36,8 +36,10 @@ from geohotspots.operators.ordering import global_position
 from geohotspots.session import cut_lineage, store
 
 EPS_MAX_M = 5_000.0
-# Points of one sub-cell that share a salt.
+# Points of one sub-cell that share a salt; sub-cells with more points than the second
+# figure are salted at all.
 SALT_POINTS = 4_096
+CROWDED_POINTS = 256
 # Pairs of points compared exactly for one pair of (quartered) sub-cells.
 EXACT_PAIRS = 4_096
 
@@ -69,13 +71,11 @@ def grid_for(events: DataFrame, eps_m: float, bbox: BoundingBox | None) -> Subce
 
 
 def weighted_points(events: DataFrame, grid: SubcellGrid, order_by: str) -> DataFrame:
-    """One row per distinct coordinate: weight, earliest event, sub-cell, unit vector."""
-    vector = unit_vector(F.col("lat"), F.col("lon"))
+    """One row per distinct coordinate: weight, earliest event, sub-cell."""
     return (
         events.groupBy(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
         .agg(F.count(F.lit(1)).alias("weight"), F.min(order_by).alias("first_order"))
         .withColumns({"cx": grid.column(F.col("lon")), "cy": grid.row(F.col("lat"))})
-        .withColumns(dict(zip(_VECTOR, vector)))
     )
 
 
@@ -85,27 +85,76 @@ def _offset_rows(offsets: Iterable[tuple[int, int]]) -> Column:
     return F.expr(f"inline(array({rows}))")
 
 
+def _tile_bits(reach: int) -> int:
+    """Tiles have ``2 ** bits`` sub-cells a side: 16, or twice the reach if that is more."""
+    return max(4, (2 * reach - 1).bit_length())
+
+
+def _in_tile(df: DataFrame, grid: SubcellGrid) -> DataFrame:
+    """Add the tile ``(qx, qy)`` that the sub-cell ``(cx, cy)`` lies in."""
+    return df.withColumns(
+        {
+            "qx": F.shiftright("cx", _tile_bits(grid.reach_x)),
+            "qy": F.shiftright("cy", _tile_bits(grid.reach_y)),
+        }
+    )
+
+
+def _in_reach(df: DataFrame, grid: SubcellGrid) -> DataFrame:
+    """One row for every tile ``(qx, qy)`` that the sub-cell ``(tx, ty)`` can be reached from."""
+
+    def tiles(name: str, reach: int) -> Column:
+        first, last = (F.shiftright(F.col(name) + r, _tile_bits(reach)) for r in (-reach, reach))
+        return F.explode(F.sequence(first, last))
+
+    return df.select("*", tiles("tx", grid.reach_x).alias("qx")).select(
+        "*", tiles("ty", grid.reach_y).alias("qy")
+    )
+
+
+def _beside(own: DataFrame, near: DataFrame, grid: SubcellGrid) -> DataFrame:
+    """Rows of :func:`_in_tile` with those of :func:`_in_reach` whose sub-cell is in reach.
+
+    Both sides are shuffled by tile, not once for each sub-cell in reach.
+    """
+    close = F.expr(f"abs(tx - cx) <= {grid.reach_x} and abs(ty - cy) <= {grid.reach_y}")
+    return own.join(near, ["qx", "qy"]).filter(close)
+
+
 def subcells(points: DataFrame, grid: SubcellGrid, min_samples: int) -> DataFrame:
-    """Per sub-cell: events, distinct points, ``dense``, and ``active``.
+    """Per sub-cell: events, distinct points, ``dense``, ``active`` and ``reached``.
 
     A sub-cell is active when it and the sub-cells in reach hold ``min_samples`` events
-    together; points of other sub-cells are noise without looking further.
+    together; points of other sub-cells are noise without looking further. It is reached when
+    points of a sparse active sub-cell have to be compared with its own.
     """
-    cells = points.groupBy("cx", "cy").agg(
+    cells = points.filter("cx is not null and cy is not null").groupBy("cx", "cy").agg(
         F.sum("weight").alias("events"), F.count(F.lit(1)).alias("points")
     )
-    around = (
-        cells.select("events", _offset_rows(grid.offsets))
-        .groupBy(F.col("tx").alias("cx"), F.col("ty").alias("cy"))
-        .agg(F.sum("events").alias("around"))
+    in_offsets = F.expr("(tx - cx) * 256 + ty - cy").isin([dx * 256 + dy for dx, dy in grid.offsets])
+
+    def neighbours(table: DataFrame, value: Column) -> DataFrame:
+        own = _in_tile(table, grid)
+        other = table.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), value.alias("value"))
+        pairs = _beside(own, _in_reach(other, grid), grid).filter(in_offsets)
+        return pairs.groupBy("qx", "qy", *table.columns)
+
+    flagged = (
+        neighbours(cells, F.col("events"))
+        .agg(F.sum("value").alias("around"))
+        .select(
+            "cx",
+            "cy",
+            "events",
+            "points",
+            (F.col("events") >= min_samples).alias("dense"),
+            (F.col("around") >= min_samples).alias("active"),
+        )
     )
-    return cells.join(around, ["cx", "cy"]).select(
-        "cx",
-        "cy",
-        "events",
-        "points",
-        (F.col("events") >= min_samples).alias("dense"),
-        (F.col("around") >= min_samples).alias("active"),
+    return (
+        neighbours(flagged, F.expr(_SPARSE))
+        .agg(F.max("value").alias("reached"))
+        .drop("qx", "qy")
     )
 
 
@@ -123,50 +172,89 @@ def _salts(points_in_cell: Column) -> Column:
 
 
 def _probe(
-    probes: DataFrame, targets: DataFrame, cells: DataFrame, grid: SubcellGrid
+    probes: DataFrame, targets: DataFrame, cells: DataFrame, value: str, best: Column, grid: SubcellGrid
 ) -> DataFrame:
-    """Pairs of a probe and a target point within eps, as rows with ``t_`` columns.
+    """``probes`` that have a target point within eps, with ``found``, the aggregate ``best`` of
+    the targets' ``value``.
 
-    ``probes`` come from sparse sub-cells, so at most
-    ``min_samples - 1`` per sub-cell; ``targets`` carry ``points``, the size of their
-    sub-cell, which sets the number of salts. Only targets in a sub-cell that some probe can
-    reach are shuffled.
+    ``probes`` come from sparse sub-cells, so at most ``min_samples - 1`` per sub-cell, and
+    ``cells`` has all sub-cells. Points are shuffled by tiles of sub-cells: probes once, targets
+    to the tiles that can reach them, so that a tile holds a bounded number of points. Targets in
+    crowded sub-cells are dealt over salts instead.
     """
-    occupied = cells.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), "points")
-    # Neighbouring sub-cells are paired first, so a probe meets occupied ones only.
+    kept = [c for c in probes.columns if c not in ("cx", "cy", *_POINT)]
+    vector = unit_vector(F.col("lat"), F.col("lon"))
+    target_vector = [v.alias(f"t_{c}") for c, v in zip(_VECTOR, vector)]
+    probe = F.struct(*_POINT, *[v.alias(c) for c, v in zip(_VECTOR, vector)], *kept)
+    place = [F.col("cx").alias("tx"), F.col("cy").alias("ty")]
+
+    def found(pairs: DataFrame, *by: str) -> DataFrame:
+        same = [F.max(c).alias(c) for c in kept]
+        return pairs.filter(_within(grid)).groupBy(*by, "cx", "cy", *_POINT).agg(best.alias("found"), *same)
+
+    own = (
+        _in_tile(probes, grid)
+        .repartition("qx", "qy")
+        .groupBy("qx", "qy", "cx", "cy")
+        .agg(F.collect_list(probe).alias("probes"))
+    )
+    # Few targets in a sub-cell travel as one row.
+    near = (
+        _in_reach(targets.filter(F.col("points") <= CROWDED_POINTS).select(*place, *_POINT, value), grid)
+        .repartition("qx", "qy")
+        .groupBy("qx", "qy", "tx", "ty")
+        .agg(F.collect_list(F.struct(*target_vector, value)).alias("targets"))
+    )
+    pairs = _beside(own, near, grid).select("qx", "qy", "cx", "cy", "targets", F.inline("probes"))
+    pairs = pairs.select(*[c for c in pairs.columns if c != "targets"], F.inline("targets"))
+    # A probe is in one tile, so its targets are summed up where they are compared.
+    counts = found(pairs, "qx", "qy").drop("qx", "qy")
+    crowded = cells.filter(F.col("points") > CROWDED_POINTS)
+    if crowded.isEmpty():
+        return counts
     links = (
-        probes.select("cx", "cy")
-        .distinct()
+        cells.filter(_SPARSE)
         .select("cx", "cy", _offset_rows(grid.offsets))
-        .join(occupied, ["tx", "ty"])
+        .join(crowded.select(*place, "points"), ["tx", "ty"])
     )
-    reached = links.select(F.col("tx").alias("cx"), F.col("ty").alias("cy")).distinct()
-    salted = targets.join(reached, ["cx", "cy"], "left_semi").select(
-        F.col("cx").alias("tx"),
-        F.col("cy").alias("ty"),
+    salted = targets.filter(F.col("points") > CROWDED_POINTS).select(
+        *place,
         F.pmod(F.xxhash64("lat", "lon"), _salts(F.col("points"))).cast("int").alias("salt"),
-        *[F.col(c).alias(f"t_{c}") for c in _VECTOR],
-        F.col("weight").alias("t_weight"),
+        *target_vector,
+        value,
     )
-    spread = probes.select("cx", "cy", *_POINT, *_VECTOR).join(links, ["cx", "cy"]).select(
-        *_POINT,
-        *_VECTOR,
+    spread = probes.join(links, ["cx", "cy"]).select(
+        *[c for c in probes.columns],
+        *[v.alias(c) for c, v in zip(_VECTOR, vector)],
         "tx",
         "ty",
         F.explode(F.sequence(F.lit(0), _salts(F.col("points")) - 1)).alias("salt"),
     )
-    return spread.join(salted, ["tx", "ty", "salt"]).filter(_within(grid))
+    both = counts.unionByName(found(spread.join(salted, ["tx", "ty", "salt"])))
+    return both.withColumnRenamed("found", value).groupBy("cx", "cy", *_POINT).agg(
+        best.alias("found"), *[F.max(c).alias(c) for c in kept]
+    )
 
 
 def sized_points(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Points with the size and flags of their sub-cell, so that later steps only filter."""
-    return points.join(cells.select("cx", "cy", "points", "dense", "active"), ["cx", "cy"])
+    return points.join(cells.select("cx", "cy", "points", "dense", "active", "reached"), ["cx", "cy"])
+
+
+def density(
+    events: DataFrame, grid: SubcellGrid, min_samples: int, order_by: str
+) -> tuple[DataFrame, DataFrame]:
+    """Stored :func:`sized_points` and :func:`subcells` of the events."""
+    points = store(weighted_points(events, grid, order_by))
+    cells = store(subcells(points, grid, min_samples))
+    return store(sized_points(points, cells)), cells
 
 
 def sparse_neighbour_counts(sized: DataFrame, cells: DataFrame, grid: SubcellGrid) -> DataFrame:
-    """Events within eps of each point of an active sparse sub-cell, per target sub-cell."""
-    pairs = _probe(sized.filter(_SPARSE), sized, cells, grid)
-    return pairs.groupBy("lat", "lon", "tx", "ty").agg(F.sum("t_weight").alias("hits"))
+    """Points of active sparse sub-cells with ``hits``, the events within eps (their own too)."""
+    probes = sized.filter(_SPARSE).select("cx", "cy", *_POINT, F.col("weight").alias("own_weight"), "first_order")
+    counted = _probe(probes, sized.filter("reached"), cells, "weight", F.sum("weight"), grid)
+    return counted.withColumnsRenamed({"found": "hits", "own_weight": "weight"})
 
 
 def _extremes() -> list[Column]:
@@ -226,11 +314,10 @@ def _apart(grid: SubcellGrid) -> Column:
 
 def _verdicts(pairs: DataFrame, grid: SubcellGrid) -> DataFrame:
     """Drop pairs that are apart; mark the rest ``touching`` or, by size, ``exact``."""
-    return pairs.filter(~_apart(grid)).withColumns(
-        {
-            "touching": _touching(grid),
-            "exact": F.col("a_points") * F.col("b_points") <= EXACT_PAIRS,
-        }
+    return pairs.filter(~_apart(grid)).select(
+        *("u", "v", "ax", "ay", "bx", "by"),
+        _touching(grid).alias("touching"),
+        (F.col("a_points") * F.col("b_points") <= EXACT_PAIRS).alias("exact"),
     )
 
 
@@ -243,8 +330,9 @@ def _exact_edges(
         .union(pairs.select("bx", "by"))
         .distinct()
     )
+    vector = unit_vector(F.col("lat"), F.col("lon"))
     fine = cores.select(
-        *_VECTOR,
+        *[v.alias(c) for c, v in zip(_VECTOR, vector)],
         grid.column(F.col("lon"), level).alias("x"),
         grid.row(F.col("lat"), level).alias("y"),
     ).join(asked, ["x", "y"], "left_semi")
@@ -270,16 +358,16 @@ def _node_id(x: Column, y: Column) -> Column:
 
 def core_edges(cores: DataFrame, nodes: DataFrame, grid: SubcellGrid) -> DataFrame:
     """``(u, v)`` for every two sub-cells that hold core points within eps of each other."""
-    forward = [o for o in grid.offsets if o > (0, 0)]
-    here = nodes.select("cx", "cy", *_side("a"), _offset_rows(forward))
-    there = nodes.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), *_side("b"))
-    pairs = here.join(there, ["tx", "ty"]).withColumns(
+    here = _in_tile(nodes.select("cx", "cy", *_side("a")), grid)
+    there = _in_reach(nodes.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), *_side("b")), grid)
+    forward = F.expr("tx > cx or (tx = cx and ty > cy)")
+    pairs = _beside(here, there, grid).filter(forward).withColumns(
         {
             "u": _node_id(F.col("cx"), F.col("cy")),
             "v": _node_id(F.col("tx"), F.col("ty")),
         }
     ).withColumnsRenamed({"cx": "ax", "cy": "ay", "tx": "bx", "ty": "by"})
-    frontier = cut_lineage(_verdicts(pairs, grid))
+    frontier = store(_verdicts(pairs, grid))
     edges = frontier.filter("touching").select("u", "v")
     level = 0
     while True:
@@ -321,7 +409,7 @@ def core_edges(cores: DataFrame, nodes: DataFrame, grid: SubcellGrid) -> DataFra
             .drop("ax", "ay", "bx", "by")
             .withColumnsRenamed({"ax2": "ax", "ay2": "ay", "bx2": "bx", "by2": "by"})
         )
-        judged = cut_lineage(_verdicts(split, grid))
+        judged = store(_verdicts(split, grid))
         found = judged.filter("touching").select("u", "v").distinct()
         edges = edges.union(found)
         frontier = judged.join(found, ["u", "v"], "left_anti")
@@ -344,22 +432,16 @@ def core_points(
             F.col("longitude").alias("lon"),
             F.lit(1).cast("bigint").alias("weight"),
         )
-    points = store(weighted_points(events, grid, order_by))
-    cells = cut_lineage(subcells(points, grid, min_samples))
-    sized = store(sized_points(points, cells))
+    sized, cells = density(events, grid, min_samples, order_by)
     hits = sparse_neighbour_counts(sized, cells, grid)
     return _cores(sized, hits, min_samples).select(*_POINT, "weight")
 
 
 def _cores(sized: DataFrame, hits: DataFrame, min_samples: int) -> DataFrame:
-    enough = (
-        hits.groupBy(*_POINT)
-        .agg(F.sum("hits").alias("n"))
-        .filter(F.col("n") >= min_samples)
-        .select(*_POINT)
-    )
-    sparse = sized.filter(_SPARSE).join(enough, list(_POINT), "left_semi")
-    return sized.filter("dense").unionByName(sparse)
+    columns = ("cx", "cy", *_POINT, "weight", "first_order")
+    dense = sized.filter("dense").select(*columns, F.lit(True).alias("dense"))
+    sparse = hits.filter(F.col("hits") >= min_samples).select(*columns, F.lit(False).alias("dense"))
+    return dense.unionByName(sparse)
 
 
 def _label_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -384,38 +466,30 @@ def cluster_lookup(
     A dense sub-cell has one label for all its points. A sparse one lists its labelled
     coordinates, fewer than ``min_samples`` of them.
     """
-    points = store(weighted_points(events, grid, order_by))
-    cells = cut_lineage(subcells(points, grid, min_samples))
-    sized = store(sized_points(points, cells))
+    sized, cells = density(events, grid, min_samples, order_by)
     hits = store(sparse_neighbour_counts(sized, cells, grid))
-    cores = store(_cores(sized, hits, min_samples))
-    nodes = _with_vectors(
-        cores.groupBy("cx", "cy").agg(
-            F.min("first_order").alias("first_order"), *_extremes()
+    cores = _cores(sized, hits, min_samples)
+    nodes = store(
+        _with_vectors(
+            cores.groupBy("cx", "cy").agg(F.min("first_order").alias("first_order"), *_extremes())
         )
     )
-    labels = cut_lineage(_label_nodes(nodes, core_edges(cores, nodes, grid)))
+    labels = store(_label_nodes(nodes, core_edges(cores, nodes, grid)))
 
     sparse_cores = cores.filter("not dense")
-    others = sized.filter(_SPARSE).join(
-        sparse_cores.select(*_POINT), list(_POINT), "left_anti"
-    )
-    dense = cells.filter("dense").select(F.col("cx").alias("tx"), F.col("cy").alias("ty"))
-    next_to_dense = (
-        hits.join(dense, ["tx", "ty"], "left_semi")
-        .join(sparse_cores.select(*_POINT), list(_POINT), "left_anti")
-        .select(*_POINT, "tx", "ty")
-    )
-    next_to_sparse = _probe(
-        others, sparse_cores.withColumn("points", F.lit(1)), cells_of(sparse_cores), grid
-    ).select(*_POINT, "tx", "ty")
-    borders = (
-        next_to_dense.union(next_to_sparse)
-        .join(labels.withColumnsRenamed({"cx": "tx", "cy": "ty"}), ["tx", "ty"])
-        .groupBy(*_POINT)
-        .agg(F.min("label").alias("label"))
-        .withColumns({"cx": grid.column(F.col("lon")), "cy": grid.row(F.col("lat"))})
+    others = hits.filter(F.col("hits") < min_samples).select("cx", "cy", *_POINT)
+    # Labelled sub-cells in reach of a point that is no core point, with their size.
+    asked = (
+        _beside(
+            _in_tile(labels.join(cells.select("cx", "cy", "points"), ["cx", "cy"]), grid),
+            _in_reach(others.select(F.col("cx").alias("tx"), F.col("cy").alias("ty")).distinct(), grid),
+            grid,
+        )
+        .select("cx", "cy", "label", "points")
+        .distinct()
     )
+    next_to = cores.select("cx", "cy", *_POINT).join(asked, ["cx", "cy"])
+    borders = _probe(others, next_to, cells, "label", F.min("label"), grid).withColumnRenamed("found", "label")
     core_labels = sparse_cores.join(labels, ["cx", "cy"])
     members = (
         core_labels.select("cx", "cy", *_POINT, "label")
@@ -432,11 +506,6 @@ def cluster_lookup(
     )
 
 
-def cells_of(points: DataFrame) -> DataFrame:
-    """Sub-cells of bounded ``points``, all in a single salt."""
-    return points.select("cx", "cy").distinct().withColumn("points", F.lit(1))
-
-
 def label_events(events: DataFrame, lookup: DataFrame, grid: SubcellGrid) -> DataFrame:
     """Add ``cluster_label`` from the lookup: one left join on the sub-cell.
 

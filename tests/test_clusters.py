@@ -193,3 +193,28 @@ def test_positions_and_quantiles(spark):
     probs = [0.0, 1 / 3, 0.5, 2 / 3, 0.975, 1.0]
     got = [r.quantile for r in ordering.exact_quantiles(df, "v", probs).orderBy("prob_no").collect()]
     assert got == pytest.approx(list(np.quantile(values, probs)))
+
+
+@pytest.mark.parametrize("crowded", [256, 3])
+def test_neighbours_are_counted_once_a_point(spark, monkeypatch, crowded):
+    """One row a point, not one for each sub-cell in reach, whether targets go by tile or by salt."""
+    monkeypatch.setattr(dbscan, "CROWDED_POINTS", crowded)
+    monkeypatch.setattr(dbscan, "SALT_POINTS", 2)
+    rng = np.random.default_rng(3)
+    points = np.array([12.95, 77.6]) + rng.uniform(0, 1400 * METRE, (700, 2))
+    points = np.concatenate([points, [12.95, 77.6] + rng.uniform(0, 30 * METRE, (40, 2))])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(points)]
+    events = spark.createDataFrame(rows, "read_order long, latitude double, longitude double")
+    grid = dbscan.grid_for(events, 75.0, None)
+    sized, cells = dbscan.density(events, grid, 6, "read_order")
+    got = dbscan.sparse_neighbour_counts(sized, cells, grid).collect()
+    lat, lon = np.radians(points).T
+    a = (
+        np.sin((lat[:, None] - lat) / 2) ** 2
+        + np.cos(lat)[:, None] * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    )
+    near = (2 * 6_371_000 * np.arcsin(np.sqrt(a)) <= 75.0).sum(axis=1)
+    assert len(got) == len({r.first_order for r in got}) > 300
+    assert all(r.hits == near[r.first_order] for r in got)
+    expected = brute_force(points, 75.0, 6)
+    assert spark_labels(spark, points, 75.0, 6) == expected
