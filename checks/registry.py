@@ -254,9 +254,9 @@ def _(t):
         ).alias("value")
     )
     path = _scratch(t, "layouts.csv")
-    header = t.spark.createDataFrame([("id,latitude,longitude,created_datetime,note",)], "value string")
-    rows = header.withColumn("part", F.lit(0)).unionByName(body.withColumn("part", F.lit(1)))
-    rows.coalesce(1).sortWithinPartitions("part").select("value").write.text(path)
+    # Every file has the header; lines hold no tab, so they are written as they are.
+    lines = body.withColumnRenamed("value", "id,latitude,longitude,created_datetime,note")
+    lines.write.csv(path, header=True, sep="\t", quote="")
     report = clean.ingestion_report(readers.scan_csv(t.spark, path))
     picked = [F.max(F.when(F.col("metric") == m, F.col("n"))).alias(m) for m in ("total_rows_read", "malformed_row")]
     return report.agg(*picked)
