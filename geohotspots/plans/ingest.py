@@ -37,18 +37,20 @@ def _union(spark: SparkSession, paths: dict[str, str], kind: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def _unseen(fresh: DataFrame, accepted: DataFrame | None) -> DataFrame:
+def _unseen(fresh: DataFrame, accepted: DataFrame | None, valid: DataFrame | None = None) -> DataFrame:
     """Rows of ``fresh`` whose id no accepted event has; null ids count as equal.
 
-    Of the accepted events only the ids are read. They are first reduced to those that occur in
-    the increment, whose ids are stored: Spark broadcasts them where they are small, so that the
-    old ids stay where they are; otherwise both sides are shuffled by id once.
+    Of the accepted events only the ids are read, and first reduced to those that occur in the
+    increment. With ``valid``, the stored rows that ``fresh`` is made of, its ids need not be found
+    first, and the ids met again are stored: Spark broadcasts them where they are few.
     """
     if accepted is None:
         return fresh
-    ids = store(fresh.select("id"))
+    ids = store(fresh.select("id")) if valid is None else valid.select("id")
     old = accepted.select(F.col("id").alias("old_id"))
     repeated = old.join(ids, F.col("old_id").eqNullSafe(F.col("id")), "left_semi")
+    if valid is not None:
+        repeated = store(repeated)
     return fresh.join(repeated, F.col("id").eqNullSafe(F.col("old_id")), "left_anti")
 
 
@@ -77,13 +79,14 @@ def ingest_increment(
         return False
     # Parsed once; the report counts the same rows.
     tagged = store(clean.tag_rejects(raw, tz=tz, bbox=bbox, formats=formats))
+    valid = tagged.filter(F.col("reject_reason").isNull())
     fresh = clean.accept(tagged, order_by=order_by)
     known = [p for p in before if p.startswith(_EVENTS)]
     accepted = _union(spark, before, _EVENTS) if known else None
 
     def events(folder: str) -> str:
         path = f"{folder}/events"
-        _unseen(fresh, accepted).write.parquet(path)
+        _unseen(fresh, accepted, valid).write.parquet(path)
         return path
 
     def report(folder: str) -> str:

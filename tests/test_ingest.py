@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import registry
 from geohotspots.operators import clean
 from geohotspots.plans import ingest
+from geohotspots.session import store
 
 RAW = "id string, latitude string, longitude string, created_datetime string, read_order long"
 GOOD, TIME = ("13.0", "77.5"), "2024-01-15 09:00:00"
@@ -76,3 +78,27 @@ def test_old_ids_are_not_shuffled_for_a_small_increment(spark, tmp_path):
     fresh = clean.clean_events(spark.createDataFrame(ROWS[:4], RAW))
     plan = ingest._unseen(fresh, old)._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_layouts_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    events = spark.range(3000).withColumnRenamed("id", "event_id")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(registry, "_scratch", lambda t, name: f"{tmp_path}/{name}")
+    row = registry.QUERIES["scan_csv_layouts"](spark, str(tmp_path)).first()
+    assert (row["total_rows_read"], row["malformed_row"]) == (9000, 3000)
+    assert len(list((tmp_path / "layouts.csv").glob("part-*"))) > 1
+
+
+def test_ids_seen_before_do_not_shuffle_the_increment(spark, tmp_path, monkeypatch):
+    stored = []
+    monkeypatch.setattr(ingest, "store", lambda df: stored.append(store(df)) or stored[-1])
+    raw = spark.sql(
+        "select cast(if(id = 7, null, id) as string) as id, id as read_order, '12.95' as latitude, '77.6' as longitude, "
+        "'2024-01-15 09:00:00' as created_datetime from range(40)"
+    )
+    ingest.ingest_increment(raw.filter("read_order < 30"), str(tmp_path), "a")
+    ingest.ingest_increment(raw.filter("read_order >= 20 or read_order = 7"), str(tmp_path), "b")
+    # The ids met again are stored, not all ids of the increment.
+    assert sorted(str(r[0]) for r in stored[-1].collect()) == sorted([*map(str, range(20, 30)), "None"])
+    events = ingest.accepted_events(spark, str(tmp_path))
+    assert sorted(r["read_order"] for r in events.collect()) == list(range(40))
