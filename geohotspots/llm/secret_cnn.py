@@ -1,9 +1,9 @@
 """Secrets: patterns, and a character convolutional network over every candidate string.
 
 The patterns give the base spans, which always stay. A candidate is a run of the characters
-that keys are made of; the network reads it with the text on both sides. It is trained in numpy on
-labelled findings: those of the patterns, and altered ones (see ``altered``) that no pattern
-covers. Its calibrated threshold is the highest that keeps the required recall on findings set
+that keys are made of; the network reads it with the text on both sides. It is trained in numpy, in
+shards that tasks train apart, on the labelled findings of all texts: those of the patterns, and
+altered ones (see ``altered``) that no pattern covers. Its calibrated threshold is the highest that keeps the required recall on findings set
 aside.
 """
 
@@ -12,19 +12,27 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geohotspots.llm import altered
-from geohotspots.llm.common import found_sample, struct_udf
+from geohotspots.llm.common import struct_udf
+from geohotspots.session import store
 
 #: Base kinds in listed order; spans that the network adds come after them.
 KINDS = ("assign", "access", "hex", "model")
-TRAINING_DOCS = 1500
+#: Windows of a shard, rounds over all shards, and units of the parameters' sums.
+SHARD, ROUNDS, FIXED = 8192, 5, 1 << 32
+#: Steps of a score; scores end at 30.
+RAW_STEPS = 1000
 #: Share of the findings set aside that the threshold has to keep.
 RECALL = 0.98
 CONTEXT, BODY = 24, 48
@@ -208,38 +216,55 @@ class SecretNet:
         if not (y[aside] == 1).any() or not (y[~aside] == 1).any():
             aside = np.zeros(len(x), bool)
         tx, ty = x[~aside], y[~aside].astype(np.float32)
-        share = np.clip(ty.mean(), 0.02, 0.98)
-        weight = np.where(ty == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+        self._descend(tx, ty, ty.mean(), (rng.integers(0, len(tx), min(batch, len(tx))) for _ in range(steps)), steps)
+        cx, cy = (x[aside], y[aside]) if aside.any() else (x, y)
+        return self.calibrate(self.raw(cx), cy, np.ones(len(cx), np.int64))
+
+    def _descend(self, x, y, share: float, chosen: Iterator[np.ndarray], steps: int, done=0.0, part=1.0) -> None:
+        """Steps of Adam; the rate falls from ``done`` on by ``part`` of its way to zero."""
+        share = np.clip(share, 0.02, 0.98)
+        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for step in range(1, steps + 1):
-            chosen = rng.integers(0, len(tx), min(batch, len(tx)))
-            for k, g in self.gradient(tx[chosen], ty[chosen], weight[chosen]).items():
+        for step, at in enumerate(chosen, 1):
+            rate = 0.01 * (1 - done - part * step / (steps + 1))
+            for k, g in self.gradient(x[at], y[at], weight[at]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g**2
-                rate = 0.01 * (1 - step / (steps + 1))
                 self.p[k] = (
                     self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
                 ).astype(np.float32)
-        cx, cy = (x[aside], y[aside]) if aside.any() else (x, y)
-        raw = self.raw(cx)
+
+    def learn(self, x: np.ndarray, y: np.ndarray, share: float, no: int, batch: int = 64) -> None:
+        """Round ``no``: passes over all windows, until there are enough steps."""
+        rng = np.random.default_rng([9, no])
+        passes = max(1, -(-STEPS // ROUNDS * batch // len(x)))
+        order = np.concatenate([rng.permutation(len(x)) for _ in range(passes)])
+        chosen = [order[a : a + batch] for a in range(0, len(order), batch)]
+        self._descend(x, y.astype(np.float32), share, iter(chosen), len(chosen), no / ROUNDS, 1 / ROUNDS)
+
+    def calibrate(self, raw: np.ndarray, y: np.ndarray, n: np.ndarray) -> SecretNet:
+        """Platt calibration and threshold from scores that occur ``n`` times each."""
         beta, z = np.array([1.0, 0.0]), np.stack([raw, np.ones(len(raw))], axis=1)
         for _ in range(30):
             q = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-            hessian = (z * (q * (1 - q))[:, None]).T @ z + 1e-1 * np.eye(2)
-            beta += np.clip(np.linalg.solve(hessian, z.T @ (cy - q) - 1e-1 * (beta - [1.0, 0.0])), -1, 1)
+            hessian = (z * (n * q * (1 - q))[:, None]).T @ z + 1e-1 * np.eye(2)
+            beta += np.clip(np.linalg.solve(hessian, z.T @ (n * (y - q)) - 1e-1 * (beta - [1.0, 0.0])), -1, 1)
         self.scale, self.shift = float(max(beta[0], 0.05)), float(beta[1])
-        found = np.sort(self.probability(raw)[cy == 1])
+        order = np.argsort(raw[y == 1], kind="stable")
+        found, upto = self.probability(raw[y == 1])[order], np.cumsum(n[y == 1][order])
         if len(found):
             # The highest threshold that misses no more findings than the recall allows.
-            at = int(np.floor((1 - RECALL) * len(found) + 1e-9))
+            at = np.searchsorted(upto, int(np.floor((1 - RECALL) * upto[-1] + 1e-9)), side="right")
             self.threshold = float(found[at])
-            self.recall = float((found >= self.threshold).mean())
+            self.recall = float(n[y == 1][order][found >= self.threshold].sum() / upto[-1])
         return self
 
     def raw(self, x: np.ndarray) -> np.ndarray:
+        """Scores in whole thousandths, so that each has a count."""
         parts = [self.forward(x[a : a + AT_ONCE])[0] for a in range(0, len(x), AT_ONCE)]
-        return np.concatenate(parts) if parts else np.empty(0)
+        scores = np.concatenate(parts) if parts else np.empty(0)
+        return np.round(np.clip(scores.astype(np.float64), -30, 30) * RAW_STEPS) / RAW_STEPS
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -60, 60)))
@@ -285,24 +310,100 @@ def labelled_candidates(texts: list[str], copies: int = 0) -> tuple[np.ndarray,
     for text, written in labelled:
         keys = [(s, e) for s, kind, e in base_spans(text) if kind] + written
         keys += [m.span(1) for m in _ASSIGN.finditer(text) if len(m[1]) >= _KEY_CHARS]
+        keys = sorted((b, f) for b, f in keys if f - b >= _KEY_CHARS)
+        starts, ends = [b for b, _ in keys], list(accumulate((f for _, f in keys), max))
         for span in candidates(text):
             for s, e in windows(*span):
                 rows.append(encode(text, s, e))
-                labels.append(any(min(e, f) - max(s, b) >= _KEY_CHARS for b, f in keys))
+                upto = bisect_right(starts, e - _KEY_CHARS)
+                labels.append(e - s >= _KEY_CHARS and upto > 0 and ends[upto - 1] >= s + _KEY_CHARS)
     return np.array(rows, np.int64).reshape(-1, WIDTH), np.array(labels, np.int64)
 
 
-def train(docs: DataFrame, sample: int = TRAINING_DOCS) -> SecretNet | None:
-    """Train on the candidates of at most ``sample`` documents; None without both classes.
+def labelled_windows(docs: DataFrame) -> DataFrame:
+    """``x, y, h``: the distinct labelled windows of all texts and of their altered copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                x, y = labelled_candidates([text], ALTERED_COPIES)
+                for at in range(0, len(y), SHARD):
+                    rows = [r.tobytes() for r in x[at : at + SHARD].astype(np.uint8)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rows, pa.binary()), pa.array(y[at : at + SHARD], pa.int8())], ["x", "y"]
+                    )
+
+    texts = docs.select("text").filter(F.col("text").rlike("[0-9:=]")).distinct()
+    found = texts.mapInArrow(run, "x binary, y byte").distinct()
+    return store(found.withColumn("h", F.xxhash64("x")))
 
-    Up to half of them have a base span. Both halves are the first in the order of a hash of
-    the text, among all texts of their sort of up to 20,000 characters with a digit or an assignment sign, as whole
-    texts come to the driver.
+
+def _rows(x) -> np.ndarray:
+    return np.frombuffer(b"".join(x), np.uint8).reshape(-1, WIDTH).astype(np.int64)
+
+
+def _trained(windows: DataFrame, total: int, share: float) -> SecretNet:
+    """Parameters after rounds over all ``windows``, in shards of about ``SHARD``.
+
+    In a round every shard trains the same parameters on all its windows, and their means over
+    the shards, summed as whole numbers, are those of the next round: neither partitions nor
+    the order of tasks matter.
     """
-    usable = docs.select("text").filter(F.col("text").rlike("[0-9:=]") & (F.length("text") <= 20_000))
-    texts = found_sample(usable, base_spans, sample // 2, sample - sample // 2)
-    x, y = labelled_candidates(texts, ALTERED_COPIES)
-    return SecretNet.fresh().fit(x, y, STEPS) if len(set(y.tolist())) == 2 else None
+    net, shards = SecretNet.fresh(), -(-total // SHARD)
+    dealt = windows.select("x", "y", "h", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
+    shapes = {k: v.shape for k, v in net.p.items()}
+
+    def round_of(no: int, p: dict[str, np.ndarray]):
+        def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["h", "x", "y"])
+            local = SecretNet({k: v.copy() for k, v in p.items()})
+            local.learn(_rows(pdf["x"]), pdf["y"].to_numpy(), share, no)
+            flat = np.concatenate([local.p[k].ravel() for k in shapes]).astype(np.float64)
+            return pd.DataFrame({"i": np.arange(len(flat)), "v": np.round(flat * FIXED).astype(np.int64)})
+
+        return learn
+
+    for no in range(ROUNDS):
+        sums = dealt.groupBy("shard").applyInPandas(round_of(no, net.p), "i long, v long").groupBy("i")
+        rows = sums.agg(F.sum("v").alias("v"), F.count("v").alias("n")).orderBy("i").toPandas()
+        flat = rows["v"].to_numpy() / rows["n"].to_numpy() / FIXED
+        ends = np.cumsum([int(np.prod(s)) for s in shapes.values()])[:-1]
+        net.p = {
+            k: part.reshape(shapes[k]).astype(np.float32) for k, part in zip(shapes, np.split(flat, ends))
+        }
+    return net
+
+
+def train(docs: DataFrame) -> SecretNet | None:
+    """Train on the candidates of all documents; None without both classes.
+
+    Every distinct window counts once. A fifth of them, by hash, is set aside: calibration and
+    threshold come from how often each score, in thousandths, occurs among all of those.
+    """
+    windows = labelled_windows(docs)
+    aside = F.pmod("h", F.lit(5)) == 0
+    counts = {
+        (r["aside"], r["y"]): r["n"]
+        for r in windows.groupBy(aside.alias("aside"), "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
+    if len({y for _, y in counts}) < 2:
+        return None
+    if (True, 1) in counts and (False, 1) in counts:
+        kept, held = windows.filter(~aside), windows.filter(aside)
+        ones, zeros = counts[False, 1], counts.get((False, 0), 0)
+    else:
+        kept = held = windows
+        ones, zeros = (sum(n for (_, y), n in counts.items() if y == k) for k in (1, 0))
+    net = _trained(kept, ones + zeros, ones / (ones + zeros))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.round(net.raw(_rows(batch.column("x").to_pylist())) * RAW_STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(raw), batch.column("y")], ["raw", "y"])
+
+    held = held.select("x", "y").mapInArrow(scored, "raw long, y byte")
+    found = held.groupBy("raw", "y").agg(F.count(F.lit(1)).alias("n")).orderBy("raw", "y").toPandas()
+    return net.calibrate(found["raw"].to_numpy() / RAW_STEPS, found["y"].to_numpy(), found["n"].to_numpy())
 
 
 def find(texts: list[str], net: SecretNet | None) -> dict:

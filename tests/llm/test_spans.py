@@ -264,3 +264,22 @@ def test_a_key_inside_a_long_run_is_read():
         text = f"see {run[:at]}Z{run[at + 1:]} there"
         found = secret_cnn.find([text, f"see {run} there"], Finder())
         assert found["spans"] == ["model:4:204", ""] and found["n_added"] == [1, 0]
+
+
+def test_secrets_are_learned_from_all_texts(spark, monkeypatch):
+    """Every window of every text, long ones too, trains; rows and partitions decide nothing."""
+    monkeypatch.setattr(secret_cnn, "SHARD", 64)
+    monkeypatch.setattr(secret_cnn, "ROUNDS", 1)
+    texts = [f"note {i} password=Zq{i}x7Rt9Lm{i * 37}Kp and plain id 2024-01-{i}-run-{i * 991}" for i in range(12)]
+    texts += ["word " * 5_000 + "token=abcdef0123456789abcd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    windows = secret_cnn.labelled_windows(docs).collect()
+    x, y = secret_cnn.labelled_candidates(texts, secret_cnn.ALTERED_COPIES)
+    assert {(bytes(r["x"]), r["y"]) for r in windows} == {(a.astype(np.uint8).tobytes(), int(b)) for a, b in zip(x, y)}
+    one, two = (secret_cnn.train(docs.union(docs).repartition(n)) for n in (1, 5))
+    assert all((one.p[k] == two.p[k]).all() for k in one.p) and one.threshold == two.threshold
+    raw = one.raw(secret_cnn._rows([r["x"] for r in windows]))
+    y = np.array([r["y"] for r in windows])
+    aside = np.array([r["h"] % 5 == 0 for r in windows])
+    found = one.probability(raw)[aside & (y == 1)]
+    assert (found >= one.threshold).mean() == one.recall >= secret_cnn.RECALL
